@@ -32,7 +32,11 @@ def _word_windows(words: Column, k: Column | int) -> Column:
 
 
 def with_anchor(df: DataFrame, norm: str) -> DataFrame:
-    """Add ``_kind`` and ``_gram``: what the text is looked up by."""
+    """Add ``_kind`` and ``_gram``: what the text is looked up by.
+
+    ``_gram`` is declared non-null: a null check on it would be pushed below the
+    steps that build it and repeat them inside one expression for every window.
+    """
     inner = F.slice(F.split(norm, " "), F.lit(2), F.greatest(F.size(F.split(norm, " ")) - 2, F.lit(0)))
     split = df.withColumn("_inner", inner).withColumn("_k", F.least(F.size("_inner"), F.lit(GRAM_WORDS)))
     windows = F.when(F.col("_k") > 0, _word_windows(F.col("_inner"), F.col("_k")))
@@ -45,7 +49,7 @@ def with_anchor(df: DataFrame, norm: str) -> DataFrame:
     gram = F.when(by_words, F.col("_longest.w")).otherwise(F.right(F.col(norm), F.lit(GRAM_CHARS)))
     return (
         split.withColumn("_kind", kind)
-        .withColumn("_gram", F.concat(F.col("_kind"), F.lit(":"), gram))
+        .withColumn("_gram", F.coalesce(F.concat(F.col("_kind"), F.lit(":"), gram), F.lit("")))
         .drop("_inner", "_k", "_longest")
     )
 
@@ -83,7 +87,7 @@ def resolve_text(
     the candidate pairs are staged, so the join that brings the texts back is
     planned from their true size.
     """
-    t = texts.select(F.col(id_col).alias("id"), X.normalize_label(F.col(text_col)).alias("norm")).filter("norm != ''")
+    t = texts.select(F.col(id_col).alias("id"), X.normalize_label(F.col(text_col)).alias("norm"))
     d = dictionary.select(
         F.col(entry_col).alias("entry"), X.normalize_label(F.col(entry_text_col)).alias("entry_norm")
     ).filter("entry_norm != ''")
