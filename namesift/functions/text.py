@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,20 @@ TOKEN = r"[\p{L}\p{N}]+"
 SENTENCE_MARK = "\u0001"
 
 
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once however often ``then`` uses it.
+
+    A filter on a computed column is pushed below the projection and repeats the
+    expression at each use; a costly value bound here stays one evaluation.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def word_run(words: Column, start: Column, n: int) -> Column:
+    """Up to ``n`` words from position ``start`` (from 0), joined by spaces."""
+    return F.concat_ws(" ", *[F.get(words, start + k) for k in range(n)])
+
+
 def normalize_label(text: Column) -> Column:
     """ASCII letters, digits and spaces only, no trailing spaces, lower case."""
     kept = F.regexp_replace(text, "[^0-9a-zA-Z ]", "")
@@ -102,21 +116,30 @@ def first_name_match(name: Column, full_name: Column) -> Column:
     return F.when(empty, fixed.UNKNOWN).when(left == first, "Y").otherwise("N")
 
 
-def category_scores(words: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
-    """Array of (n, name): how many of ``words`` each category's lexicon lists."""
+def lexicon_category(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
+    """The category whose lexicon lists the most words of the text.
+
+    Counted inside the row, so nothing is shuffled. No hit, or two categories
+    level at the top, is ``Unknown``.
+    """
 
-    def hits(listed: Sequence[str]) -> Column:
+    def hits(words: Column, listed: Sequence[str]) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(*listed)))
 
-    return F.array(*[F.struct(hits(listed).alias("n"), F.lit(name).alias("name")) for name, listed in lexicon.items()])
+    def scores(words: Column) -> Column:
+        return F.array(
+            *[F.struct(hits(words, listed).alias("n"), F.lit(name).alias("name")) for name, listed in lexicon.items()]
+        )
+
+    def pick(scored: Column) -> Column:
+        def leader(top: Column) -> Column:
+            level = F.filter(scored, lambda s: s["n"] == top)
+            return F.when((top > 0) & (F.size(level) == 1), F.get(level, F.lit(0))["name"])
 
+        best = bind(F.array_max(F.transform(scored, lambda s: s["n"])), leader)
+        return F.coalesce(best, F.lit(fixed.UNKNOWN))
 
-def pick_category(scored: Column) -> Column:
-    """Name of the single best of ``category_scores``; no hit or a tie is ``Unknown``."""
-    top = F.array_max(F.transform(scored, lambda s: s["n"]))
-    leaders = F.filter(scored, lambda s: s["n"] == top)
-    settled = (top > 0) & (F.size(leaders) == 1)
-    return F.when(settled, F.get(leaders, F.lit(0))["name"]).otherwise(fixed.UNKNOWN)
+    return bind(bind(tokens(text), scores), pick)
 
 
 # ---- pages -----------------------------------------------------------------

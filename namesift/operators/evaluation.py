@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namesift.functions import fixed
 from namesift.functions import text as X
 
 
@@ -42,7 +43,8 @@ def missed_labels(gold: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def _lenient(df: DataFrame, answer: str, gold: str) -> Column:
-    return X.matches(X.normalize_label(F.col(gold)), X.normalize_label(F.col(answer)))
+    sides = F.struct(X.normalize_label(F.col(gold)).alias("gold"), X.normalize_label(F.col(answer)).alias("answer"))
+    return X.bind(sides, lambda pair: X.matches(pair["gold"], pair["answer"]))
 
 
 def answer_accuracy(df: DataFrame, answer: str = "answer", gold: str = "gold") -> DataFrame:
@@ -56,7 +58,7 @@ def answer_accuracy(df: DataFrame, answer: str = "answer", gold: str = "gold") -
 
 def answer_misses(df: DataFrame, answer: str = "answer", gold: str = "gold") -> DataFrame:
     """Answered rows the lenient check rejects, for a person to read."""
-    return df.filter(F.col(answer).isNotNull() & ~_lenient(df, answer, gold))
+    return df.filter(~_lenient(df, answer, gold)).filter(F.col(answer).isNotNull())
 
 
 def classification_report(df: DataFrame, answer: str = "answer", gold: str = "gold") -> DataFrame:
@@ -77,7 +79,8 @@ def classification_report(df: DataFrame, answer: str = "answer", gold: str = "go
 
 def error_review(df: DataFrame, answer: str = "answer", gold: str = "gold") -> DataFrame:
     """Rows that are classified, but differently from the label."""
-    return df.filter(X.is_answered(F.col(answer)) & (F.lower(F.col(answer)) != F.col(gold)))
+    wrong = X.bind(F.lower(F.col(answer)), lambda a: (a != fixed.UNKNOWN.lower()) & (a != F.col(gold)))
+    return df.filter(wrong)
 
 
 def cascade_accuracy(passes: DataFrame) -> DataFrame:

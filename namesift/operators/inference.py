@@ -172,6 +172,4 @@ def keep_allowed(answer: Column, allowed: Sequence[str], default: str = fixed.UN
 
 def classify(df: DataFrame, text: str, lexicon: Mapping[str, Sequence[str]], answer: str = "answer") -> DataFrame:
     """Choose one category per row by lexicon vote, or ``Unknown``; no shuffle, no Python."""
-    scored = df.withColumn("_words", X.tokens(F.col(text)))
-    scored = scored.withColumn("_scores", X.category_scores(F.col("_words"), lexicon))
-    return scored.withColumn(answer, X.pick_category(F.col("_scores"))).drop("_words", "_scores")
+    return df.withColumn(answer, X.lexicon_category(F.col(text), lexicon))

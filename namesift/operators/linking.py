@@ -26,9 +26,10 @@ GRAM_CHARS = 8
 ALL_KINDS = [f"w{k}" for k in range(1, GRAM_WORDS + 1)] + [f"c{q}" for q in range(1, GRAM_CHARS + 1)]
 
 
-def _word_windows(words: Column, k: Column | int) -> Column:
-    places = F.sequence(F.lit(1), F.size(words) - k + 1)
-    return F.when(F.size(words) >= k, F.transform(places, lambda i: F.array_join(F.slice(words, i, k), " ")))
+def _word_windows(words: Column, n: int) -> Column:
+    """All runs of ``n`` words; NULL for a text with fewer."""
+    places = F.sequence(F.lit(0), F.size(words) - n)
+    return F.when(F.size(words) >= n, F.transform(places, lambda i: X.word_run(words, i, n)))
 
 
 def with_anchor(df: DataFrame, norm: str) -> DataFrame:
@@ -37,11 +38,15 @@ def with_anchor(df: DataFrame, norm: str) -> DataFrame:
     ``_gram`` is declared non-null: a null check on it would be pushed below the
     steps that build it and repeat them inside one expression for every window.
     """
-    inner = F.slice(F.split(norm, " "), F.lit(2), F.greatest(F.size(F.split(norm, " ")) - 2, F.lit(0)))
+    words = F.split(norm, " ")
+    inner = X.bind(words, lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
+
+    def longest(inside: Column) -> Column:
+        runs = [F.when(F.least(F.size(inside), F.lit(GRAM_WORDS)) == k, _word_windows(inside, k)) for k in range(1, GRAM_WORDS + 1)]
+        return F.array_max(F.transform(F.coalesce(*runs), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+
     split = df.withColumn("_inner", inner).withColumn("_k", F.least(F.size("_inner"), F.lit(GRAM_WORDS)))
-    windows = F.when(F.col("_k") > 0, _word_windows(F.col("_inner"), F.col("_k")))
-    longest = F.array_max(F.transform(windows, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    split = split.withColumn("_longest", longest)
+    split = split.withColumn("_longest", longest(F.col("_inner")))
     by_words = F.coalesce(F.col("_longest.n") >= GRAM_CHARS, F.lit(False))
     kind = F.when(by_words, F.concat(F.lit("w"), F.col("_k"))).otherwise(
         F.concat(F.lit("c"), F.least(F.length(norm), F.lit(GRAM_CHARS)))

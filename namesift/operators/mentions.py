@@ -20,6 +20,7 @@ from namesift.operators.sizing import broadcast_if_small, measure
 
 MENTION_COLUMNS = ["id", "pos", "text", "entity_detected", "score"]
 KEY_WORDS = 3
+FIRST_WORDS = 10_000
 
 logger = logging.getLogger(__name__)
 
@@ -58,8 +59,9 @@ def extract_gazetteer(
     Words are joined on at most three words at a time. A longer phrase is looked
     up by its first three and then checked against the words that follow, so the
     text grows at most threefold whatever the phrase lengths. The exploded rows
-    carry no document text. A dictionary measured as small is broadcast, and then
-    nothing is shuffled.
+    carry no document text. With up to ``FIRST_WORDS`` entries only places whose
+    word starts some phrase are exploded. A dictionary measured as small is
+    broadcast, and then nothing is shuffled.
     """
     entries = dictionary.select(
         X.tokens(F.col("phrase")).alias("_words"), F.col("text"), F.col("entity_detected"), F.col("score")
@@ -67,6 +69,7 @@ def extract_gazetteer(
     n_words = F.size("_words")
     entries = entries.select(
         F.least(n_words, F.lit(KEY_WORDS)).alias("_k"),
+        F.get("_words", F.lit(0)).alias("_first"),
         F.array_join(F.slice("_words", 1, KEY_WORDS), " ").alias("_key"),
         F.when(n_words > KEY_WORDS, F.array_join("_words", " ")).alias("_long"),
         n_words.alias("_n"),
@@ -85,29 +88,31 @@ def extract_gazetteer(
             "id", F.lit(0).alias("pos"), "text", "entity_detected", "score"
         )
 
+    firsts: dict[int, list[str]] = {}
+    if size["rows"] <= FIRST_WORDS:
+        for row in entries.select("_k", "_first").distinct().collect():
+            firsts.setdefault(row["_k"], []).append(row["_first"])
     words = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("_w"))
 
     def grams(k: int):
-        places = F.sequence(F.lit(1), F.size("_w") - (k - 1))
+        long = k == KEY_WORDS and size["longest"] > KEY_WORDS
 
         def gram(i):
-            window = F.array_join(F.slice("_w", i, size["longest"]), " ") if k == KEY_WORDS else None
-            return F.struct(
-                (i - 1).alias("pos"),
-                F.array_join(F.slice("_w", i, k), " ").alias("_key"),
-                (window if k == KEY_WORDS and size["longest"] > KEY_WORDS else F.lit(None).cast("string")).alias(
-                    "_window"
-                ),
-            )
-
-        return F.when(F.size("_w") >= k, F.transform(places, gram))
-
-    pieces = [F.coalesce(grams(k), F.array().cast("array<struct<pos:int,_key:string,_window:string>>")) for k in sorted(size["kinds"])]
+            window = X.word_run(F.col("_w"), i, size["longest"]) if long else F.lit(None).cast("string")
+            return F.struct(i.alias("pos"), X.word_run(F.col("_w"), i, k).alias("_key"), window.alias("_window"))
+
+        places = F.sequence(F.lit(0), F.size("_w") - k)
+        if firsts:
+            places = F.filter(places, lambda i: F.get("_w", i).isin(*sorted(firsts[k])))
+        none = F.array().cast("array<struct<pos:int,_key:string,_window:string>>")
+        return F.when(F.size("_w") >= k, F.transform(places, gram)).otherwise(none)
+
+    pieces = [grams(k) for k in sorted(size["kinds"])]
     rows = words.select("id", F.explode(F.concat(*pieces)).alias("g")).select("id", "g.*")
     follows = F.col("_long").isNull() | F.startswith(
         F.concat(F.col("_window"), F.lit(" ")), F.concat(F.col("_long"), F.lit(" "))
     )
-    hits = rows.join(broadcast_if_small(entries.drop("_k", "_n"), size), "_key").filter(follows)
+    hits = rows.join(broadcast_if_small(entries.drop("_k", "_n", "_first"), size), "_key").filter(follows)
     return hits.select(*MENTION_COLUMNS)
 
 
