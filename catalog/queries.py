@@ -13,7 +13,7 @@ from namesift.functions import text as X
 from namesift.functions.fixed import COUNT_CATEGORIES
 from namesift.operators import evaluation, ids, inference, linking, matching, mentions, retrieval, routing, votes
 from namesift.plans import row_to_question, text_to_entity, title_guess
-from namesift.session import stage, stage_path, tune
+from namesift.session import spread, stage, stage_path, tune
 from namesift.sources import read_table, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,16 @@ def language_dictionary(spark: SparkSession) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("gold"))
+    docs = table(spark, sf_dir, "documents")
+    return spread(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("gold")))
+
+
+def gold_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("gold"))
+
+
+def pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 def language_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +71,7 @@ def language_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = documents(spark, sf_dir).select("id", "gold")
+    gold = gold_languages(spark, sf_dir)
     return stage(text_to_entity.first_pass(language_mentions(spark, sf_dir), gold, "LANGUAGE"), "matched")
 
 
@@ -71,8 +80,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def language_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = documents(spark, sf_dir).select("id")
-    return matching.first_match_rank(matched_languages(spark, sf_dir), ids=corpus)
+    return matching.first_match_rank(matched_languages(spark, sf_dir), ids=gold_languages(spark, sf_dir))
 
 
 def classified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +88,7 @@ def classified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(retrieval.postings(table(spark, sf_dir, "pages")), "postings")
+    return stage(retrieval.postings(pages_html(spark, sf_dir)), "postings")
 
 
 def top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,7 +354,7 @@ def match_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def match_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = documents(spark, sf_dir).select("id", "gold")
+    gold = gold_languages(spark, sf_dir)
     return rounded(matching.match_votes(language_votes(spark, sf_dir), gold))
 
 
@@ -398,7 +406,7 @@ def curated_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def override_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = matching.apply_overrides(matched_languages(spark, sf_dir), overrides(spark, sf_dir))
-    ranks = matching.first_match_rank(matched, ids=documents(spark, sf_dir))
+    ranks = matching.first_match_rank(matched, ids=gold_languages(spark, sf_dir))
     return ranks.withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 
 
@@ -408,13 +416,13 @@ def override_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def route_uncertain(spark: SparkSession, sf_dir: str) -> DataFrame:
     settled = routing.settled_ids(language_votes(spark, sf_dir), SETTLED_MORE_THAN, SETTLED_SCORE)
-    return routing.route_uncertain(documents(spark, sf_dir).select("id", "gold"), settled)
+    return routing.route_uncertain(gold_languages(spark, sf_dir), settled)
 
 
 @query
 def route_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     settled = routing.matched_ids(matched_languages(spark, sf_dir))
-    return routing.route_uncertain(documents(spark, sf_dir).select("id", "gold"), settled)
+    return routing.route_uncertain(gold_languages(spark, sf_dir), settled)
 
 
 @query
@@ -492,7 +500,7 @@ def resolve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resolve_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = pages_html(spark, sf_dir)
     texts = pages.select("page_id", X.page_text(F.col("html")).alias("text"))
     titles = pages.select(X.normalize_label(X.page_title(F.col("html"))).alias("title")).distinct()
     return linking.resolve_text(texts, titles, "page_id", "text", "title", "title")
@@ -524,7 +532,7 @@ def retrieve_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def guess_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = title_guess.title_results(top_pages(spark, sf_dir), table(spark, sf_dir, "pages"))
+    results = title_guess.title_results(top_pages(spark, sf_dir), pages_html(spark, sf_dir))
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("search_id"), F.col("text").alias("search_term"))
     return title_guess.guess_title(results.join(terms, "search_id"))
 
