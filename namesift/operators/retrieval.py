@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesift.functions import text as X
+from namesift.session import stage
 
 RARE_PAGES = 100_000
 IDF_STEP = 1000
@@ -25,7 +26,8 @@ def query_terms(searches: DataFrame, key: str, text: str) -> DataFrame:
 
 def _top(scores: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("search_id").orderBy(F.col("score").desc(), "page_id")
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    ranked = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return ranked.select("search_id", "page_id", "score", "rank")
 
 
 def retrieve_pages(
@@ -55,12 +57,15 @@ def retrieve_pages(
     terms = terms.select(
         "search_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "max_tf", (F.col("df") > rare_pages).alias("common")
     )
-    rare = terms.filter(~F.col("common"))
+    terms = stage(terms, "terms")
 
     def score(hits: DataFrame) -> DataFrame:
         return hits.groupBy("search_id", "page_id").agg(F.sum(F.col("weight") * F.col("tf")).alias("score"))
 
+    rare = terms.filter(~F.col("common"))
     proposed = score(rare.select("search_id", "term", "weight").join(index, "term"))
+    if terms.filter("common").isEmpty():
+        return _top(proposed, n)
     bar = _top(proposed, n).groupBy("search_id").agg(F.min("score").alias("_bar"), F.count(F.lit(1)).alias("_n"))
     reach = terms.groupBy("search_id").agg(
         F.coalesce(F.sum(F.when(F.col("common"), F.col("weight") * F.col("max_tf"))), F.lit(0)).alias("_reach")
@@ -76,4 +81,4 @@ def retrieve_pages(
     easy_scores = found.unionByName(added).groupBy("search_id", "page_id").agg(F.sum("score").alias("score"))
     all_terms = terms.select("search_id", "term", "weight").join(hard, "search_id", "left_semi")
     hard_scores = score(all_terms.join(index, "term"))
-    return _top(easy_scores.unionByName(hard_scores), n).select("search_id", "page_id", "score", "rank")
+    return _top(easy_scores.unionByName(hard_scores), n)
