@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# What an unquoted empty field is read as on its way to NULL; a quoted one stays ''.
+NULL_MARK = "\u0001"
+
 
 def read_table(
     spark: SparkSession,
@@ -32,7 +35,14 @@ def read_table(
         if schema is None:
             raise ValueError("a CSV source needs an explicit schema")
         df = spark.read.schema(schema).csv(
-            source, header=header, multiLine=multiline, quote='"', escape='"', mode="FAILFAST"
+            source,
+            header=header,
+            multiLine=multiline,
+            quote='"',
+            escape='"',
+            nullValue=NULL_MARK,
+            emptyValue="",
+            mode="FAILFAST",
         )
     elif fmt == "parquet":
         reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -50,7 +60,7 @@ def read_table(
 def write_table(df: DataFrame, target: str, fmt: str = "parquet", header: bool = True, path: str | None = None) -> None:
     """Overwrite a CSV or parquet folder, or a catalog table (``fmt='table'``).
 
-    CSV keeps empty strings apart from nulls by quoting them.
+    In CSV an empty string is written quoted and NULL is not, so both come back.
     """
     writer = df.write.mode("overwrite")
     if fmt == "table":
@@ -58,7 +68,7 @@ def write_table(df: DataFrame, target: str, fmt: str = "parquet", header: bool =
             writer = writer.option("path", path)
         writer.saveAsTable(target)
     elif fmt == "csv":
-        writer.csv(target, header=header, quote='"', escape='"', emptyValue='""')
+        writer.csv(target, header=header, quote='"', escape='"')
     elif fmt == "parquet":
         writer.parquet(target)
     else:

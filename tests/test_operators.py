@@ -1,0 +1,402 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from namesift.operators import evaluation, ids, linking, matching, mentions, retrieval, routing, votes
+from namesift.plans import row_to_question, title_guess
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+# ---- ids -------------------------------------------------------------------------
+
+
+def test_ids_are_dense_and_copies_adjacent(spark):
+    data = [("a", 1)] * 1000 + [("b", None)] * 3 + [(None, 1), ("", 1), ("c", 2)]
+    df = spark.createDataFrame(data, "x string, y int")
+    got = ids.assign_ids(df, copies_per_task=7, digits=1).collect()
+    assert sorted(r["id"] for r in got) == list(range(len(data)))
+    assert sorted(((r["x"], r["y"]) for r in got), key=str) == sorted(data, key=str)
+    hot = sorted(r["id"] for r in got if r["x"] == "a")
+    assert hot == list(range(hot[0], hot[0] + 1000))
+
+
+def test_ids_by_key_are_repeatable(spark):
+    df = spark.range(500).withColumnRenamed("id", "k")
+    first = rows(ids.assign_ids(df, by=["k"]))
+    second = rows(ids.assign_ids(df.repartition(13), by=["k"], digits=2))
+    assert first == second
+
+
+# ---- mentions ------------------------------------------------------------------------
+
+PHRASES = [
+    ("up", "Up", "FILM", 0.5),
+    ("the dark knight", "The Dark Knight", "FILM", 1.0),
+    ("the dark knight rises again", "Rises", "FILM", 1.0),
+    ("dark knight", "DK", "FILM", 0.75),
+    ("!!!", "empty", "FILM", 1.0),
+]
+
+
+def gazetteer(spark, texts, phrases=PHRASES):
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    schema = "phrase string, text string, entity_detected string, score double"
+    return mentions.extract_gazetteer(docs, spark.createDataFrame(phrases, schema))
+
+
+def brute_gazetteer(texts, phrases):
+    import re
+
+    found = []
+    for key, text in enumerate(texts):
+        words = re.findall(r"\w+", (text or "").lower())
+        for phrase, name, kind, score in phrases:
+            wanted = re.findall(r"\w+", phrase.lower())
+            for i in range(len(words) - len(wanted) + 1):
+                if wanted and words[i : i + len(wanted)] == wanted:
+                    found.append((key, i, name, kind, score))
+    return sorted(found, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+@pytest.mark.parametrize("first_words", [0, 10_000])
+def test_gazetteer_finds_every_place(spark, monkeypatch, first_words):
+    monkeypatch.setattr(mentions, "FIRST_WORDS", first_words)
+    texts = ["Up, up! The Dark Knight rises again", "the dark knight rises", None, "", "updated", "dark knight up"]
+    assert rows(gazetteer(spark, texts)) == brute_gazetteer(texts, PHRASES)
+
+
+def test_gazetteer_against_brute_force(spark):
+    pick = random.Random(7)
+    texts = [" ".join(pick.choice("abc") for _ in range(pick.randint(0, 25))) for _ in range(60)]
+    phrases = [(" ".join(pick.choice("abc") for _ in range(n)), f"p{n}{k}", "T", 1.0) for n in (1, 2, 3, 4, 6) for k in range(4)]
+    assert rows(gazetteer(spark, texts, phrases)) == brute_gazetteer(texts, phrases)
+
+
+def test_gazetteer_with_an_empty_dictionary(spark):
+    assert gazetteer(spark, ["up"], PHRASES[-1:]).collect() == []
+
+
+def test_gazetteer_does_not_shuffle_text(spark):
+    assert "Exchange hashpartitioning" not in plan_of(gazetteer(spark, ["up"]))
+
+
+class Shaky:
+    """Fails on any batch that holds the word bad."""
+
+    def tag(self, texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("bad text")
+        return [[(w, "WORD", 1.0) for w in t.split()] for t in texts]
+
+
+def test_a_failing_text_gives_no_mentions(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "bad"), (3, ""), (4, None), (5, "c")], "id bigint, text string").coalesce(1)
+    got = rows(mentions.extract_with(docs, Shaky()))
+    assert got == [(1, 0, "a", "WORD", 1.0), (1, 1, "b", "WORD", 1.0), (5, 0, "c", "WORD", 1.0)]
+
+
+def test_patterns_sentences_and_search_text(spark):
+    docs = spark.createDataFrame([(1, "Mail a@b.org 12 or 12. Then 7!"), (2, "none"), (3, None)], "id int, text string")
+    found = mentions.extract_patterns(docs, {"EMAIL": "[a-z]+@[a-z.]+[a-z]", "CARDINAL": "[0-9]+"}, score=None)
+    assert rows(found.select("id", "pos", "text", "score")) == [(1, 0, "a@b.org", None), (1, 1, "12", None), (1, 2, "12", None), (1, 3, "7", None)]
+    assert rows(mentions.search_text(found)) == [(1, "a@b.org 12 7")]
+    assert rows(mentions.search_text(mentions.filter_mentions(found, ["EMAIL"], include=False))) == [(1, "12 7")]
+    assert rows(mentions.split_sentences(docs)) == [(1, 0, "Mail a@b.org 12 or 12."), (1, 1, "Then 7!"), (2, 0, "none")]
+
+
+# ---- votes ------------------------------------------------------------------------------
+
+MENTIONS = [
+    (1, "up", 0.9),
+    (1, "up", 0.7),
+    (1, "jaws", 0.9),
+    (1, "jaws", 0.7),
+    (1, "alien", 1.0),
+    (2, "jaws", 0.5),
+    (3, "", 0.4),
+    (3, "", 0.4),
+    (4, "up", None),
+    (4, "heat", 0.2),
+]
+
+
+def count(spark, data=MENTIONS):
+    return votes.count_votes(spark.createDataFrame(data, "id int, text string, score double"))
+
+
+def test_count_votes(spark):
+    got = rows(count(spark))
+    assert (1, "up", 0.8, 2, 2) in got and (1, "alien", 1.0, 1, 2) in got
+    assert (4, "up", None, 1, 1) in got and (3, "", 0.4, 2, 2) in got
+    assert len(got) == 7
+
+
+def test_mean_score_does_not_depend_on_order(spark):
+    scores = [0.1, 0.2, 0.3, 0.7, 1e-9, 0.999999999] * 50
+    means = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(scores)
+        means.add(count(spark, [(1, "a", s) for s in scores]).first()["avg_score"])
+    assert len(means) == 1
+
+
+@pytest.mark.parametrize("window_rows", [0, 3, 1_000_000])
+def test_rank_is_the_same_by_window_and_by_counting(spark, window_rows):
+    pick = random.Random(3)
+    data = [(pick.randint(1, 4), f"t{pick.randint(1, 12)}", pick.choice([0.0, 0.25, 0.5, 1.0, 0.123456789, None])) for _ in range(300)]
+    counted = count(spark, data)
+    got = {(r["id"], r["text"]): r["relevance_rank"] for r in votes.rank_votes(counted, window_rows).collect()}
+    table = counted.collect()
+
+    def key(r):
+        return (r["n_occur"], -1.0 if r["avg_score"] is None else r["avg_score"])
+
+    expected = {(r["id"], r["text"]): 1 + sum(o["id"] == r["id"] and key(o) > key(r) for o in table) for r in table}
+    assert got == expected
+
+
+def test_no_window_over_a_whole_table_in_votes(spark):
+    plan = plan_of(count(spark))
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
+# ---- matching ----------------------------------------------------------------------------
+
+GOLD = [(1, "Jaws!"), (2, "Jaws 2"), (3, "Up"), (4, None), (5, "Heat")]
+
+
+def match(spark, **options):
+    return matching.match_votes(count(spark), spark.createDataFrame(GOLD, "id int, gold string"), **options)
+
+
+def test_match_votes(spark):
+    got = {(r["id"], r["text"]): (r["match_type"], r["match_code"], r["majority_match"], r["any_match"]) for r in match(spark).collect()}
+    assert got[(1, "jaws")] == ("exact", 2, 1, 1)
+    assert got[(1, "up")] == ("none", 0, 0, 0)
+    assert got[(2, "jaws")] == ("overlap", 1, 1, 1)
+    assert got[(3, "")] == ("none", 0, 0, 0)
+    assert got[(4, "up")] == ("none", 0, 0, 0)
+    old = {(r["id"], r["text"]): r["match_type"] for r in match(spark, strict_reference=True).collect()}
+    assert old[(3, "")] == "overlap"
+
+
+def test_ranks_share_ties_and_misses_score_zero(spark):
+    everyone = spark.createDataFrame(GOLD, "id int, gold string")
+    ranks = matching.first_match_rank(match(spark), ids=everyone)
+    assert rows(ranks) == [(1, 1, 1.0), (2, 1, 1.0), (3, None, 0.0), (4, None, 0.0), (5, None, 0.0)]
+    assert matching.mrr(ranks).first()["mrr"] == 0.4
+    hits = {r["k"]: (r["n_ids"], r["n_hits"]) for r in matching.hits_at_k(ranks, (1, 5)).collect()}
+    assert hits == {1: (5, 2), 5: (5, 2)}
+    assert rows(matching.rank_histogram(ranks)) == [(1, 2), (None, 3)]
+
+
+def test_overrides_are_pairs_and_keep_their_rank(spark):
+    listed = spark.createDataFrame([(1, "alien"), (1, "alien"), (4, "heat"), (2, "up")], "id int, text string")
+    assert rows(matching.curated_overrides(match(spark), listed).select("id", "text")) == [(1, "alien"), (4, "heat")]
+    ranks = matching.first_match_rank(matching.apply_overrides(match(spark), listed))
+    assert rows(ranks.select("id", "rank_first_match")) == [(1, 1), (2, 1), (4, 1)]
+
+
+def test_routing_splits_the_corpus(spark):
+    corpus = spark.createDataFrame([(k,) for k in range(1, 7)], "id int")
+    settled = routing.settled_ids(count(spark), more_than=1, min_score=0.3)
+    routed = routing.route_uncertain(corpus, settled)
+    assert rows(settled) == [(3,)]
+    assert rows(routed) == [(1,), (2,), (4,), (5,), (6,)]
+    assert rows(routing.matched_ids(match(spark))) == [(1,)]
+
+
+# ---- evaluation --------------------------------------------------------------------------
+
+
+def test_labels_long_drops_missing_labels(spark):
+    wide = spark.createDataFrame([(1, "peru", None), (2, "chile", "peru")], "id int, c1 string, c2 string")
+    long = evaluation.labels_long(wide, ["id"], ["c1", "c2"])
+    assert rows(long) == [(1, "c1", "peru"), (2, "c1", "chile"), (2, "c2", "peru")]
+    found = spark.createDataFrame([(1, "peru"), (1, "peru"), (2, "peru"), (3, "cuba")], "id int, text string")
+    assert tuple(evaluation.mention_accuracy(found, long).first()) == (3, 3, 2, 0.666667)
+    assert rows(evaluation.missed_labels(long, found)) == [(2, "chile", "c1")]
+
+
+ANSWERS = [(1, "Up", "up"), (2, "unknown", "up"), (3, None, "up"), (4, "Jaws", "up"), (5, "up high", "up"), (6, "...", "up"), (7, "up", None)]
+
+
+def test_answer_checks(spark):
+    df = spark.createDataFrame(ANSWERS, "id int, answer string, gold string")
+    assert tuple(evaluation.answer_accuracy(df).first()) == (2, 6, 0.333333)
+    assert [r[0] for r in rows(evaluation.answer_misses(df))] == [2, 4, 6, 7]
+    report = evaluation.classification_report(df).first().asDict()
+    assert report == {"n_total": 7, "n_classified": 5, "n_correct": 1, "share_equal": 0.0, "coverage": 0.714286, "accuracy": 0.2}
+    assert [r[0] for r in rows(evaluation.error_review(df))] == [4, 5, 6]
+
+
+def test_cascade_accuracy(spark):
+    passes = spark.createDataFrame([(555, 572), (880, 911)], "n_correct int, n_attempted int")
+    assert tuple(evaluation.cascade_accuracy(passes).first()) == (1435, 1483, 0.967633)
+
+
+def test_empty_inputs_give_null_shares(spark):
+    none = spark.createDataFrame([], "id int, answer string, gold string")
+    assert tuple(evaluation.answer_accuracy(none).first()) == (0, 0, None)
+
+
+# ---- linking ------------------------------------------------------------------------------
+
+
+def brute_pairs(texts, entries):
+    import re
+
+    def norm(t):
+        return re.sub("[^0-9a-zA-Z ]", "", t or "").rstrip(" ").lower()
+
+    out = []
+    for i, t in enumerate(texts):
+        for j, e in enumerate(entries):
+            a, b = norm(t), norm(e)
+            if a and b and (a in b or b in a):
+                out.append((i, j, "exact" if a == b else "overlap"))
+    return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def resolve(spark, texts, entries):
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    e = spark.createDataFrame(list(enumerate(entries)), "entry int, entry_text string")
+    return linking.resolve_text(t, e)
+
+
+def test_resolve_text_edge_cases(spark):
+    texts = ["House of Cards", "warehouse of cardstock", "of", "", None, "...", "a  b", "xa  by", " Lead", "lead", "The Lord of the Rings: part 1", "rings"]
+    entries = ["house of cards", "OF", "", "a  b", " lead", "lord of the rings", "the rings part", "e", "extraordinary", "raordin"]
+    assert rows(resolve(spark, texts, entries)) == brute_pairs(texts, entries)
+
+
+def test_resolve_text_against_brute_force(spark):
+    pick = random.Random(11)
+
+    def some(words, low, high):
+        return " ".join(pick.choice(words) for _ in range(pick.randint(low, high)))
+
+    words = ["a", "bb", "abcabcab", "longerword", "", "x1", "Longerword,", "bbabc"]
+    texts = [some(words, 0, 14) for _ in range(120)]
+    entries = [some(words, 0, 6) for _ in range(60)] + texts[:5]
+    entries += [t[3:17] for t in texts if len(t) > 20][:40]
+    assert rows(resolve(spark, texts, entries)) == brute_pairs(texts, entries)
+
+
+def test_candidate_pairs_against_brute_force(spark):
+    pick = random.Random(5)
+    left = [(k, pick.randint(0, 2), str(pick.randint(1, 300))) for k in range(80)]
+    right = [(k, pick.randint(0, 2), str(pick.randint(1, 3000))) for k in range(200)] + [(999, 0, "")]
+    lt = spark.createDataFrame(left, "lid int, key int, lname string")
+    rt = spark.createDataFrame(right, "rid int, key int, rname string")
+    pairs = linking.candidate_pairs(lt, rt, "lname", "rname", ["key"]).cache()
+    records = linking.pair_records(pairs, lt, rt, "lname", "rname", ["key"], "lid", "rid")
+    expected = sorted((a, b) for a, k, x in left for b, k2, y in right if k == k2 and y and (x in y or y in x))
+    assert sorted((r["lid"], r["rid"]) for r in records.collect()) == expected
+    counts = {}
+    for r in pairs.collect():
+        assert r["match_type"] == ("exact" if r["left_value"] == r["right_value"] else "overlap")
+        counts.setdefault((r["key"], r["left_value"]), []).append(r["n_right"])
+    several = {k for k, n in counts.items() if sum(n) > 1}
+    assert {(r["key"], r["left_value"]) for r in linking.ambiguous_pairs(pairs, ["key"]).collect()} == several
+
+
+def test_link_by_key(spark):
+    left = spark.createDataFrame([(1, "The  Matrix!"), (2, "Jaws"), (3, None)], "id int, movie string")
+    films = spark.createDataFrame([("the_matrix",), ("heat",)], "title string")
+    assert rows(row_to_question.gold_titles(left, films).select("id", "title")) == [(1, "the_matrix"), (2, None), (3, None)]
+
+
+def test_film_rows(spark):
+    schema = "title string, director string, actor_1 string, actor_2 string, actor_3 string, release_yr double, year double"
+    films = spark.createDataFrame(
+        [("a", "jane_doe", "x_y", None, "z", 1999.0, 1999.0), ("b", None, None, None, None, None, None)], schema
+    )
+    end = "? Respond with ONLY the movie's official title."
+    assert rows(row_to_question.film_questions(films)) == [
+        ("a", "What 1999 movie was directed by Jane Doe and had actor(s) X Y, Z" + end),
+        ("b", "What  movie" + end),
+    ]
+    assert [r[0] for r in rows(row_to_question.film_questions(films, films.filter("title = 'b'")))] == ["b"]
+    assert rows(row_to_question.film_search_terms(films)) == [("a", "x_y  z jane_doe 1999"), ("b", "    ")]
+
+
+# ---- retrieval ---------------------------------------------------------------------------
+
+
+def brute_top(pages, searches, n):
+    import math
+    import re
+
+    words = {p: re.findall(r"\w+", t.lower()) for p, t in pages}
+    df = {}
+    for w in words.values():
+        for term in set(w):
+            df[term] = df.get(term, 0) + 1
+    out = []
+    for s, text in searches:
+        scores = {}
+        for term in re.findall(r"\w+", text.lower()):
+            for p, w in words.items():
+                if term in w:
+                    idf = math.floor(math.log(len(pages) / df[term]) * 1000 + 0.5)
+                    scores[p] = scores.get(p, 0) + idf * w.count(term)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:n]
+        out += [(s, p, v, k + 1) for k, (p, v) in enumerate(best)]
+    return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+@pytest.mark.parametrize("rare_pages", [0, 1, 3, 8, 15, 1000])
+def test_retrieval_is_exact_for_any_split_of_the_words(spark, rare_pages):
+    pick = random.Random(2)
+    words = ["the"] * 6 + ["of"] * 4 + [f"w{k}" for k in range(25)]
+    pages = [(k, " ".join(pick.choice(words) for _ in range(12))) for k in range(40)]
+    searches = [(k, " ".join(pick.choice(words) for _ in range(5))) for k in range(12)] + [(99, "the of"), (98, "missing"), (97, "w1 w2 w3 w4")]
+    index = retrieval.postings(spark.createDataFrame(pages, "page_id int, html string"))
+    asked = spark.createDataFrame(searches, "sid int, q string")
+    got = retrieval.retrieve_pages(index, len(pages), asked, "sid", "q", 4, rare_pages)
+    assert rows(got) == brute_top(pages, searches, 4)
+
+
+def test_guess_title(spark):
+    results = spark.createDataFrame(
+        [("Pacino film", "The_Godfather film"), ("Pacino film", "godfather  Two"), ("x", "x"), ("y", "b a")],
+        "search_term string, title string",
+    )
+    assert rows(title_guess.guess_title(results)) == [("Pacino film", "godfather"), ("y", "a b")]
+
+
+# ---- plans -----------------------------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_nested_loop_joins(spark):
+    t = spark.createDataFrame([(1, "a b c")], "id int, text string")
+    e = spark.createDataFrame([(1, "b c")], "entry int, entry_text string")
+    assert "NestedLoop" not in plan_of(linking.resolve_text(t, e)) and "Cartesian" not in plan_of(linking.resolve_text(t, e))
+    lt = spark.createDataFrame([(1, 1, "a")], "lid int, key int, name string")
+    rt = spark.createDataFrame([(1, 1, "ab")], "rid int, key int, name string")
+    assert "NestedLoop" not in plan_of(linking.candidate_pairs(lt, rt, "name", "name", ["key"]))
+
+
+def test_a_large_dictionary_is_not_broadcast(spark, monkeypatch):
+    from namesift.operators import sizing
+
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = ["Up, up! The Dark Knight rises again", "dark knight up"]
+        found = gazetteer(spark, texts)
+        assert "BroadcastHashJoin" not in plan_of(found)
+        assert rows(found) == brute_gazetteer(texts, PHRASES)
+        entries = ["dark knight", "up up the dark", "rises"]
+        assert rows(resolve(spark, texts, entries)) == brute_pairs(texts, entries)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
