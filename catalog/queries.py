@@ -12,7 +12,7 @@ from namesift.functions import prompts
 from namesift.functions import text as X
 from namesift.functions.fixed import COUNT_CATEGORIES
 from namesift.operators import evaluation, ids, inference, linking, matching, mentions, retrieval, routing, votes
-from namesift.plans import row_to_question, text_to_entity, title_guess
+from namesift.plans import record_to_record, row_to_question, text_to_entity, title_guess
 from namesift.session import spread, stage, stage_path, tune
 from namesift.sources import read_table, write_table
 
@@ -232,6 +232,13 @@ def first_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", answer.alias("answer"))
 
 
+@query
+def judge_first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
+    judged = record_to_record.judge_first_names(part, "p_type", "p_name", inference.CueBackend(V.NAME_CUES))
+    return judged.select("p_partkey", "is_first_name")
+
+
 @query
 def template_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")

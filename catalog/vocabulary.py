@@ -72,6 +72,8 @@ LANGUAGE_CUES = (
     ("th", "en"),
 )
 
+NAME_CUES = (("STANDARD", "N"), ("of large", "Y."), ("of old", "N"))
+
 NUMBER_PATTERN = "[0-9]+"
 
 SIZE_CATEGORIES = {"small ring": "jewel", "large ring": "jewel", "red plate": "dish", "blue plate": "dish"}

@@ -121,7 +121,11 @@ def _read_cache(df: DataFrame, path: str) -> DataFrame | None:
 
 
 def prompt_key(backend: Backend, prompt: Column) -> Column:
-    return F.sha2(F.concat_ws("\u001f", F.lit(backend.name), F.lit(backend.model), prompt), 256)
+    """Digest of backend, model and prompt; NULL for a NULL prompt.
+
+    Joins go by this key alone, so a prompt nobody selects later is not shuffled.
+    """
+    return F.sha2(F.concat(F.lit(f"{backend.name}\u001f{backend.model}\u001f"), prompt), 256)
 
 
 def infer(
@@ -148,8 +152,8 @@ def infer(
     """
     cache = cache or stage_path(df.sparkSession, "answers")
     keyed = df.withColumn("_key", prompt_key(backend, F.col(prompt)))
-    asked = keyed.filter(F.col(prompt).isNotNull()).select(F.col("_key").alias("key"), F.col(prompt).alias("prompt"))
-    todo = asked.distinct()
+    asked = keyed.filter(F.col(prompt).isNotNull())
+    todo = asked.select(F.col("_key").alias("key"), F.col(prompt).alias("prompt")).distinct()
     known = _read_cache(df, cache)
     if known is not None:
         todo = todo.join(known.filter("answer is not null").select("key"), "key", "left_anti")
@@ -160,7 +164,7 @@ def infer(
 
     kept = _read_cache(df, cache).filter("answer is not null").groupBy("key").agg(F.min("answer").alias("_answer"))
     joined = keyed.join(kept.withColumnRenamed("key", "_key"), "_key", "left")
-    value = F.when(F.col(prompt).isNotNull(), F.coalesce("_answer", F.lit(default)))
+    value = F.when(F.col("_key").isNotNull(), F.coalesce("_answer", F.lit(default)))
     return joined.withColumn(answer, value).drop("_key", "_answer")
 
 
@@ -171,5 +175,10 @@ def keep_allowed(answer: Column, allowed: Sequence[str], default: str = fixed.UN
 
 
 def classify(df: DataFrame, text: str, lexicon: Mapping[str, Sequence[str]], answer: str = "answer") -> DataFrame:
-    """Choose one category per row by lexicon vote, or ``Unknown``; no shuffle, no Python."""
-    return df.withColumn(answer, X.lexicon_category(F.col(text), lexicon))
+    """Choose one category per row by lexicon vote, or ``Unknown``; no shuffle, no Python.
+
+    The answer passes through a one-element explode, which later filters on it
+    cannot be pushed below, so the text is scanned once.
+    """
+    category = X.lexicon_category(F.col(text), lexicon)
+    return df.drop(answer).select("*", F.explode(F.array(category)).alias(answer))

@@ -12,7 +12,7 @@ its anchor with it, so no match is lost:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from namesift.session import stage
 
 GRAM_WORDS = 3
 GRAM_CHARS = 8
+LISTED_ANCHORS = 10_000
 ALL_KINDS = [f"w{k}" for k in range(1, GRAM_WORDS + 1)] + [f"c{q}" for q in range(1, GRAM_CHARS + 1)]
 
 
@@ -59,8 +60,14 @@ def with_anchor(df: DataFrame, norm: str) -> DataFrame:
     )
 
 
-def with_grams(df: DataFrame, norm: str, kinds: Sequence[str]) -> DataFrame:
-    """One row per different gram of the text in column ``_gram``; the text itself is dropped unless used later."""
+def with_grams(
+    df: DataFrame, norm: str, kinds: Sequence[str], listed: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """One row per different gram of the text in column ``_gram``.
+
+    ``listed`` holds the only grams wanted per kind; others are then dropped before
+    they become rows.
+    """
     words = df.withColumn("_words", F.split(norm, " "))
 
     def grams(kind: str) -> Column:
@@ -70,12 +77,24 @@ def with_grams(df: DataFrame, norm: str, kinds: Sequence[str]) -> DataFrame:
         else:
             found = F.regexp_extract_all(F.col(norm), F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
         found = F.coalesce(found, F.array().cast("array<string>"))
+        if listed:
+            found = F.filter(found, lambda g: g.isin(*listed[kind]))
         return F.transform(F.array_distinct(found), lambda g: F.concat(F.lit(kind + ":"), g))
 
-    every = F.concat(*[grams(kind) for kind in sorted(kinds)])
+    every = F.concat(F.array().cast("array<string>"), *[grams(kind) for kind in sorted(kinds)])
     return words.withColumn("_gram", F.explode(every)).drop("_words")
 
 
+def _listed_anchors(anchors: DataFrame, size: dict) -> dict[str, list[str]] | None:
+    """The anchors per kind if the measured dictionary is short enough to list them, else None."""
+    if size["rows"] > LISTED_ANCHORS:
+        return None
+    listed: dict[str, list[str]] = {}
+    for row in anchors.select("_kind", "_gram").distinct().collect():
+        listed.setdefault(row["_kind"], []).append(row["_gram"].split(":", 1)[1])
+    return {kind: sorted(grams) for kind, grams in listed.items()}
+
+
 def resolve_text(
     texts: DataFrame,
     dictionary: DataFrame,
@@ -88,20 +107,24 @@ def resolve_text(
 
     Both directions are searched: entries inside texts, and texts inside entries.
     The second concerns only texts shorter than the longest entry, which is
-    measured together with the dictionary's size. Exploded grams carry ids only;
-    the candidate pairs are staged, so the join that brings the texts back is
-    planned from their true size.
+    measured together with the dictionary's size. Exploded grams carry ids only,
+    and only grams that are anchors become rows if the anchors can be listed. The
+    normalized dictionary is staged, because it is read several times, and so are
+    the candidate pairs, so that the join that brings the texts back is planned
+    from their true size.
     """
     t = texts.select(F.col(id_col).alias("id"), X.normalize_label(F.col(text_col)).alias("norm"))
     d = dictionary.select(
         F.col(entry_col).alias("entry"), X.normalize_label(F.col(entry_text_col)).alias("entry_norm")
     ).filter("entry_norm != ''")
-    anchors = with_anchor(d, "entry_norm")
+    anchors = stage(with_anchor(d, "entry_norm"), "entries")
+    d = anchors.select("entry", "entry_norm")
     size = measure(
         anchors, F.col("entry_norm"), kinds=F.collect_set("_kind"), longest=F.max(F.length("entry_norm"))
     )
 
-    inside = with_grams(t, "norm", size["kinds"]).select("id", "_gram")
+    listed = _listed_anchors(anchors, size)
+    inside = with_grams(t, "norm", size["kinds"], listed).select("id", "_gram")
     inside = inside.join(broadcast_if_small(anchors.select("entry", "_gram"), size), "_gram")
 
     shorter = with_anchor(t.filter(F.length("norm") < (size["longest"] or 0)), "norm").select("id", "_gram")
@@ -129,11 +152,14 @@ def candidate_pairs(
     Returns ``keys, left_value, right_value, n_left, n_right, match_type,
     match_code``: one row per pair of different values with the number of records
     behind each, so copies of a record never multiply. Only pairs that match leave
-    the join; a key shared by many records does not pair them all.
+    the join; a key shared by many records does not pair them all. The values of
+    both sides are staged, because each is measured, cut and looked up.
     """
     lv = _values(left, left_value, keys, "left")
     rv = _values(right, right_value, keys, "right")
-    l_anchor, r_anchor = with_anchor(lv, "left_value"), with_anchor(rv, "right_value")
+    l_anchor = stage(with_anchor(lv, "left_value"), "left")
+    r_anchor = stage(with_anchor(rv, "right_value"), "right")
+    lv, rv = l_anchor.drop("_kind", "_gram"), r_anchor.drop("_kind", "_gram")
     l_size = measure(l_anchor, F.col("left_value"), kinds=F.collect_set("_kind"))
     r_size = measure(r_anchor, F.col("right_value"), kinds=F.collect_set("_kind"))
     on = [*keys, "_gram"]
@@ -155,7 +181,11 @@ def candidate_pairs(
 
 
 def ambiguous_pairs(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pairs whose left value has more than one right record."""
+    """Pairs whose left value has more than one right record.
+
+    Counted by an aggregate and joined back, so a left value with very many
+    partners is not gathered in one window. Store ``pairs`` first: they are read twice.
+    """
     left = [*keys, "left_value"]
     several = pairs.groupBy(*left).agg(F.sum("n_right").alias("n")).filter("n > 1").select(*left)
     return pairs.join(several, left, "left_semi")

@@ -52,7 +52,8 @@ def first_match_rank(
     The rank is one more than the number of stronger votes, so it needs the best
     match per id and a count, both combined before their shuffle, and no window.
     With ``ids`` every id is listed, and one without a match has a NULL rank and
-    scores 0; a miss therefore is never a hit at any k.
+    scores 0; a miss therefore is never a hit at any k. ``matched`` is read twice:
+    store it first if it is costly.
     """
     best = matched.filter(F.col(match_col) == 1).groupBy("id").agg(F.max(strength()).alias("_best"))
     ahead = (strength() > F.col("_best")).cast("bigint")

@@ -56,7 +56,8 @@ def rank_votes(votes: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Add ``relevance_rank``: 1 for the strongest vote of an id, ties share a rank.
 
     Ids with up to ``window_rows`` votes are ranked by a window. Larger ids are
-    ranked by counting, see ``_rank_large``.
+    ranked by counting, see ``_rank_large``. ``votes`` is read several times: store
+    it first if it is costly.
     """
     sizes = votes.groupBy("id").agg(F.count(F.lit(1)).alias("_votes"))
     sized = votes.join(sizes, "id")

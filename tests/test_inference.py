@@ -102,3 +102,15 @@ def test_another_model_has_its_own_answers(spark, tmp_path):
 def test_keep_allowed(spark, answer, kept):
     df = spark.createDataFrame([(answer,)], "x string")
     assert df.select(inference.keep_allowed(F.col("x"), ["total deaths", "new deaths"])).first()[0] == kept
+
+
+def test_only_pairs_the_rule_rejects_are_asked(spark, tmp_path):
+    from namesift.plans.record_to_record import judge_first_names
+
+    names = [("Mara", "Mara Quist"), ("Mara", "Quist Mara"), ("Mara", "Quist Mara"), (None, "Mara")]
+    pairs = spark.createDataFrame(names, "host string, owner string")
+    log = tmp_path / "calls"
+    judged = judge_first_names(pairs, "host", "owner", Recorder(log), cache=str(tmp_path / "cache"))
+    got = sorted(r["is_first_name"][:12] for r in judged.collect())
+    assert got == ["Unknown", "Y", '[{"ROLE":"US', '[{"ROLE":"US']
+    assert len(calls_made(log)) == 1

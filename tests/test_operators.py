@@ -268,13 +268,17 @@ def resolve(spark, texts, entries):
     return linking.resolve_text(t, e)
 
 
-def test_resolve_text_edge_cases(spark):
+@pytest.mark.parametrize("listed", [0, 10_000])
+def test_resolve_text_edge_cases(spark, monkeypatch, listed):
+    monkeypatch.setattr(linking, "LISTED_ANCHORS", listed)
     texts = ["House of Cards", "warehouse of cardstock", "of", "", None, "...", "a  b", "xa  by", " Lead", "lead", "The Lord of the Rings: part 1", "rings"]
     entries = ["house of cards", "OF", "", "a  b", " lead", "lord of the rings", "the rings part", "e", "extraordinary", "raordin"]
     assert rows(resolve(spark, texts, entries)) == brute_pairs(texts, entries)
 
 
-def test_resolve_text_against_brute_force(spark):
+@pytest.mark.parametrize("listed", [0, 10_000])
+def test_resolve_text_against_brute_force(spark, monkeypatch, listed):
+    monkeypatch.setattr(linking, "LISTED_ANCHORS", listed)
     pick = random.Random(11)
 
     def some(words, low, high):
@@ -287,6 +291,14 @@ def test_resolve_text_against_brute_force(spark):
     assert rows(resolve(spark, texts, entries)) == brute_pairs(texts, entries)
 
 
+def test_linking_with_empty_sides(spark):
+    assert resolve(spark, ["a"], [""]).collect() == []
+    assert resolve(spark, ["", None], ["a"]).collect() == []
+    none = spark.createDataFrame([], "lid int, key int, name string")
+    some = spark.createDataFrame([(1, 1, "a")], "rid int, key int, name string")
+    assert linking.candidate_pairs(none, some, "name", "name", ["key"]).collect() == []
+
+
 def test_candidate_pairs_against_brute_force(spark):
     pick = random.Random(5)
     left = [(k, pick.randint(0, 2), str(pick.randint(1, 300))) for k in range(80)]
