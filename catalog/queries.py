@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +41,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def language_dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(V.LANGUAGE_PHRASES, "phrase string, text string, score double").withColumn(
-        "entity_detected", F.lit("LANGUAGE")
-    )
+    phrases, languages, scores = zip(*V.LANGUAGE_PHRASES)
+    entries = pa.table({"phrase": phrases, "text": languages, "score": scores})
+    return spark.createDataFrame(entries).withColumn("entity_detected", F.lit("LANGUAGE"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
