@@ -412,3 +412,25 @@ def test_a_large_dictionary_is_not_broadcast(spark, monkeypatch):
         assert rows(resolve(spark, texts, entries)) == brute_pairs(texts, entries)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_id_with_most_rows(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1k")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        hot = spark.range(20_000).select(
+            F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).cast("int").alias("id"),
+            F.concat(F.lit("t"), F.col("id") % 5000).alias("text"),
+            F.lit(0.5).alias("score"),
+        )
+        counted = votes.count_votes(hot)
+        assert counted.count() == 12_500
+        assert counted.filter("id = 0").agg(F.min("max_occur"), F.max("n_occur"), F.count("text")).first() == (4, 4, 2500)
+        gold = spark.createDataFrame([(0, "t2"), (1, "nothing")], "id int, gold string")
+        ranks = matching.first_match_rank(matching.match_votes(counted, gold), ids=gold)
+        assert rows(ranks) == [(0, 1, 1.0), (1, None, 0.0)]
+        assert votes.rank_votes(counted, 100).agg(F.max("relevance_rank"), F.count("text")).first() == (1, 12_500)
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.skewJoin.skewedPartitionThresholdInBytes", "adaptive.advisoryPartitionSizeInBytes"):
+            spark.conf.unset(f"spark.sql.{name}")
