@@ -56,6 +56,18 @@ class Powers:
         return self.up, self.down
 
 
+def prefix_sums(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of byte times power up to each place, and the inverse powers.
+
+    The difference of two sums times the inverse power at the first is a polynomial
+    hash of the bytes between them.
+    """
+    up, down = powers.upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return total, down
+
+
 def word_hashes(data: np.ndarray, in_word: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every run of ``in_word`` bytes, with its start and end.
 
@@ -64,9 +76,7 @@ def word_hashes(data: np.ndarray, in_word: np.ndarray, powers: Powers) -> tuple[
     """
     edge = np.flatnonzero(np.diff(np.concatenate(([0], in_word.view(np.int8), [0]))))
     start, end = edge[0::2], edge[1::2]
-    up, down = powers.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    total, down = prefix_sums(data, powers)
     value = (total[end] - total[start]) * down[start]
     return mix(value ^ ((end - start).astype(np.uint64) * MIX)), start, end
 
