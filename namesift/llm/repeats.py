@@ -111,10 +111,11 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
 
 
 def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of symbols below 512 by prefix doubling, and where its prefix of ``length`` (7 or more) changes."""
+    """Suffix array of symbols below 511 by prefix doubling, and where its prefix of ``length`` (7 or more) changes."""
     n = len(text)
     code = np.zeros(n, np.uint64)
-    padded = np.concatenate((text.astype(np.uint64), np.zeros(7, np.uint64)))
+    # Beyond the end stands a symbol of its own, so that no two suffixes are equal.
+    padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)))
     for i in range(7):
         code = (code << np.uint64(9)) | padded[i : i + n]
     order = np.argsort(code, kind="stable")
