@@ -25,6 +25,16 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.struct(c) for c in columns])
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc, row): each row as one struct beside its key, so that no added name can clash with its columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key("doc_id", "text").alias("row"))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in column ``row`` of ``rows``."""
+    return packed(docs).join(rows.select("row"), "row", "left_anti").select("doc.*")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values so that equal bits of input differ everywhere in the output."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm.common import MIX, Powers, documents, row_key, shingle_hashes, word_hashes
+from namesift.llm.common import MIX, Powers, documents, row_key, shingle_hashes, without_rows, word_hashes
 from namesift.session import stage
 
 LEAST = 5
@@ -180,8 +180,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    rows = stage(overlaps(docs, benchmark).select(F.col("row").alias("_row")).distinct(), "contaminated")
-    return docs.withColumn("_row", row_key("doc_id", "text")).join(rows, "_row", "left_anti").drop("_row")
+    return without_rows(docs, stage(overlaps(docs, benchmark).select("row").distinct(), "contaminated"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

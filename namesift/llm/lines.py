@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm.common import documents, row_key
+from namesift.llm.common import documents, packed, row_key
 from namesift.llm.quality import SPACES
 from namesift.session import stage
 
@@ -49,33 +49,28 @@ def boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> Da
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
-    """``docs`` with _kept, the text without its boilerplate lines, and their count _n_removed.
+    """(doc, kept, n_lines, n_removed) for every row of ``docs``: its text without its boilerplate lines.
 
     Lines are compared without white space at their ends; other lines stay as they
     are, blank ones too. Positions of removed lines come back to their row by its
     content key, so repeated rows and null ids are no trouble, and are cut out in
-    one pass. A null text stays null and loses nothing.
+    one pass. A null text stays null and loses nothing. ``doc`` is the row as a struct.
     """
     marked = stage(boilerplate(docs, site, sites), "boilerplate")
-    places = _spread(docs, site).join(marked, "line").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("_at"))
-    rows = docs.withColumn("_key", row_key("doc_id", "text")).join(places.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    at = F.concat(F.array(F.lit(-1)), F.col("_at"), F.array(F.size("_all")))
-    pieces = F.expr("flatten(transform(sequence(0, size(_cut) - 2), j -> slice(_all, _cut[j] + 2, _cut[j + 1] - _cut[j] - 1)))")
-    rows = rows.withColumn("_all", _lines(F.col("text"))).withColumn("_cut", at)
-    kept = F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.array_join(pieces, "\n"))
-    return rows.select(*[docs[c] for c in docs.columns], kept.alias("_kept"), F.coalesce(F.size("_at"), F.lit(0)).alias("_n_removed"))
+    places = _spread(docs, site).join(marked, "line").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    rows = packed(docs).join(places.withColumnRenamed("key", "row"), "row", "left").withColumn("lines", _lines(F.col("doc.text")))
+    rows = rows.withColumn("cut", F.concat(F.array(F.lit(-1)), F.col("at"), F.array(F.size("lines"))))
+    pieces = F.expr("flatten(transform(sequence(0, size(cut) - 2), j -> slice(lines, cut[j] + 2, cut[j + 1] - cut[j] - 1)))")
+    kept = F.when(F.col("at").isNull(), F.col("doc.text")).otherwise(F.array_join(pieces, "\n"))
+    removed = F.when(F.col("at").isNull(), 0).otherwise(F.size("at"))
+    return rows.select("doc", kept.alias("kept"), F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without lines that stand on five or more sources."""
     rows = without_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return rows.select(
-        "doc_id",
-        F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.when(F.col("_n_removed") > 0, F.col("_n_removed")).otherwise(0).cast("long").alias("n_removed"),
-        F.coalesce(F.char_length("_kept"), F.lit(0)).cast("long").alias("kept_chars"),
-        F.md5(F.coalesce("_kept", F.lit(""))).alias("kept_md5"),
-    )
+    kept = F.coalesce("kept", F.lit(""))
+    return rows.select("doc.doc_id", "n_lines", "n_removed", F.char_length(kept).cast("long").alias("kept_chars"), F.md5(kept).alias("kept_md5"))
 
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm.common import documents
+from namesift.llm.common import documents, packed
 
 # White space of the contract: space and the control characters 9 to 13.
 SPACES = " \t\n\x0b\f\r"
@@ -82,64 +82,55 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def rated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with counts, cleaned lines and a verdict, all in one pass and without a shuffle.
+def rated(docs: DataFrame) -> DataFrame:
+    """(doc, counts, cleaned text, verdict) for every row of ``docs``, in one pass without a shuffle.
 
     Lines without a word are left out of the clean text. Every other line is held against
     the line rules; the document is kept if the base rules pass and its failing lines
     hold at most half of its characters. A null text counts as an empty one: it has
-    no words and fails. Columns of ``docs`` keep their names; added ones begin with ``_``.
+    no words and fails. ``doc`` is the row as a struct.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    blank = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    whole = F.coalesce("doc.text", F.lit(""))
+    worded = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     judged = F.transform(
-        "_lines",
+        "lines",
         lambda x: let(
             F.btrim(x, F.lit(SPACES)),
             lambda s: F.struct(x.alias("line"), F.char_length(s).alias("n"), line_fails(s).alias("fails")),
         ),
     )
-    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["n"])
-    rows = docs.withColumn("_words", words(whole)).withColumn("_lines", blank)
-    rows = rows.withColumns(
-        {
-            "_n_words": F.size("_words"),
-            "_word_chars": F.char_length(F.translate(whole, SPACES, "")),
-            "_n_symbols": _n(whole, SYMBOLS),
-            "_n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-            "_n_repeat_words": repeated_words(F.col("_words")),
-            "_judged": judged,
-        }
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    rows = packed(docs).select("doc", words(whole).alias("words"), worded.alias("lines"))
+    rows = rows.select(
+        "doc",
+        F.size("words").cast("long").alias("n_words"),
+        F.char_length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"),
+        _n(whole, SYMBOLS).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        judged.alias("judged"),
     )
     rows = rows.withColumns(
         {
-            "_base_failed": (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words")),
-            "_n_chars": total(F.col("_judged")),
-            "_lost_chars": total(F.filter("_judged", lambda x: x["fails"])),
-            "_clean": F.array_join(F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n"),
+            "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
+            "line_chars": total(F.col("judged")),
+            "lost_chars": total(F.filter("judged", lambda x: x["fails"])),
+            "clean": F.array_join(F.transform(F.filter("judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n"),
         }
     )
-    kept = ~F.col("_base_failed") & (F.col("_lost_chars") <= F.col("_n_chars") * MOST_LOST)
-    return rows.withColumn("_kept", kept).drop("_words", "_lines", "_judged")
+    kept = ~F.col("base_failed") & (F.col("lost_chars") <= F.col("line_chars") * MOST_LOST)
+    return rows.withColumn("kept", kept).drop("judged")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents kept, with their failing lines removed from ``text``."""
-    return rated(docs).where("_kept").withColumn("text", F.col("_clean")).select(*docs.columns)
+    return rated(docs).where("kept").select(F.col("doc").withField("text", F.col("clean")).alias("doc")).select("doc.*")
 
 
 def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     rows = rated(documents(spark, sf_dir).select("doc_id", "text"))
-    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return rows.select(
-        "doc_id",
-        *[F.col(f"_{c}").cast("long").alias(c) for c in longs],
-        F.col("_base_failed").alias("base_failed"),
-        F.col("_kept").alias("kept"),
-        F.col("_n_chars").cast("long").alias("line_chars"),
-        F.col("_lost_chars").cast("long").alias("lost_chars"),
-    )
+    return rows.select(F.col("doc.doc_id").alias("doc_id"), *[c for c in rows.columns if c not in ("doc", "clean")])
 
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from namesift.llm.common import documents
+from namesift.llm.common import documents, packed
 from namesift.operators.sizing import broadcast_if_small, measure
 from namesift.session import stage
 
@@ -34,20 +34,20 @@ def _directory(cells: DataFrame, depth: int, max_bytes: int) -> DataFrame:
 
 
 def shards(docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``docs`` with _shard, _depth and _shard_bytes.
+    """(doc, shard, depth, shard_bytes) for every row of ``docs``; doc is the row as a struct.
 
     A row hashes by doc_id and text. Buckets of hash prefixes split on their next
-    bit only while their texts exceed ``max_bytes`` bytes of UTF-8, so _depth differs
-    between shards; _shard is the prefix in bits, ``-`` for the whole table. The
+    bit only while their texts exceed ``max_bytes`` bytes of UTF-8, so the depth differs
+    between shards; ``shard`` is the prefix in bits, ``-`` for the whole table. The
     directory is built from sums over prefixes of a fixed depth; prefixes still
     too large, and no others, are summed again at more bits. Rows that agree in all
     60 bits, such as copies of one row, cannot be split by any bit: they go to
     numbered overflow shards of as many rows as surely fit. A shard is over the
     limit only if it is one row that is larger. Null texts have no bytes.
     """
-    docs_key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")))))
-    keyed = docs.withColumn("_hash", F.conv(F.substring(docs_key, 1, 15), 16, 10).cast("long"))
-    keyed = keyed.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    doc_id, text = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("~")), F.coalesce("doc.text", F.lit(""))
+    keyed = packed(docs).select("doc", F.octet_length(text).cast("long").alias("_bytes"), F.md5(F.concat(doc_id, F.lit("|"), F.md5(text))).alias("_md5"))
+    keyed = keyed.select("doc", "_bytes", F.conv(F.substring("_md5", 1, 15), 16, 10).cast("long").alias("_hash"))
     sizes = stage(keyed.groupBy("_hash").agg(F.sum("_bytes").alias("bytes")), "sizes")
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     depth, left = min(BITS, max(1, total // max_bytes).bit_length() + SPARE), sizes
@@ -69,10 +69,10 @@ def shards(docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
             break
         left = left.withColumn("_cell", _prefix(depth)).join(large, "_cell", "left_semi").drop("_cell")
         depth = min(BITS, depth + 8)
-    columns = [*docs.columns, "_shard", "_depth", "_shard_bytes"]
-    out = parts[0].select(*columns)
+    names = [F.col("_shard").alias("shard"), F.col("_depth").cast("int").alias("depth"), F.col("_shard_bytes").alias("shard_bytes")]
+    out = parts[0].select("doc", *names)
     for part in parts[1:]:
-        out = out.unionByName(part.select(*columns))
+        out = out.unionByName(part.select("doc", *names))
     return out
 
 
@@ -93,13 +93,8 @@ def _overflow(rows: DataFrame, max_bytes: int) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document."""
     rows = shards(documents(spark, sf_dir).select("doc_id", "text"))
-    return rows.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.col("_shard").alias("shard"),
-        F.col("_depth").cast("int").alias("depth"),
-        F.col("_shard_bytes").alias("shard_bytes"),
-    )
+    n_bytes = F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long").alias("n_bytes")
+    return rows.select("doc.doc_id", n_bytes, "shard", "depth", "shard_bytes")
 
 
 ORACLE = f"""

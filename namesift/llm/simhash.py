@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm.common import MIX, Powers, components, documents, mix, row_key, shingle_hashes, word_hashes
+from namesift.llm.common import MIX, Powers, components, documents, mix, packed, row_key, shingle_hashes, without_rows, word_hashes
 from namesift.session import stage
 
 BITS = 64
@@ -347,15 +347,14 @@ def near_groups(
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each group the row with the smallest doc_id stays."""
     groups = stage(near_groups(docs), "groups")
-    lost = groups.where("row <> keeper").select(F.col("row").alias("_row")).distinct()
+    kept = without_rows(docs, groups.where("row <> keeper").select("row").distinct())
     # A row written several times is its own keeper several times over.
-    again = groups.where("row = keeper").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_row"))
+    again = groups.where("row = keeper").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row")
     again = stage(again, "repeated")
-    keyed = docs.withColumn("_row", row_key("doc_id", "text")).join(lost, "_row", "left_anti")
     if again.isEmpty():
-        return keyed.drop("_row")
-    once = keyed.join(again, "_row", "left_semi").dropDuplicates(["_row"])
-    return keyed.join(again, "_row", "left_anti").unionByName(once).drop("_row")
+        return kept
+    once = packed(kept).join(again, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
+    return without_rows(kept, again).unionByName(once)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

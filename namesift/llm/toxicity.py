@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm.common import documents, row_key
+from namesift.llm.common import documents, row_key, without_rows
 from namesift.session import stage
 
 # Labelled rows used to fit, those of the smallest id hashes; documented bound.
@@ -341,9 +341,8 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``limit`` or more."""
-    toxic = score(docs, labels).where(F.col("score") >= limit).select(F.col("row").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
-    return keyed.join(stage(toxic, "toxic"), "_row", "left_anti").drop("_row")
+    toxic = score(docs, labels).where(F.col("score") >= limit).select("row").distinct()
+    return without_rows(docs, stage(toxic, "toxic"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
