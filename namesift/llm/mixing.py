@@ -8,7 +8,8 @@ from math import gcd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from namesift.llm.common import documents
+from namesift.llm.common import documents, packed
+from namesift.operators.sizing import broadcast_if_small
 
 # Rows of a block, the unit that is scheduled.
 BLOCK_ROWS = 32
@@ -76,53 +77,52 @@ def default_shares(counts: list[int]) -> list[int]:
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``docs`` with _block, _slot and _order: where each row stands in the mix.
+    """(doc, block, slot, order) for every row of ``docs``: where it stands in the mix.
 
     Rows of a source are put in the order of a content hash and cut into blocks of
     ``block_rows``; blocks of all sources are interleaved so that each source is
     always less than one block from its weight among the sources that still have
     rows. ``weights`` are whole shares by source; a source without one has share 1,
     and by default shares follow the square root of the rows. A null source is a
-    source of its own. Every row is kept. _order has gaps after a source's last block.
+    source of its own. Every row is kept. order has gaps after a source's last block.
+    ``doc`` is the row as a struct.
 
     The driver holds one row per source and one period per phase. Rows are numbered
     within hash cells of bounded size, so no source passes through one task.
     """
     spark = docs.sparkSession
-    source = F.col("source")
     counts = sorted(docs.groupBy("source").count().collect(), key=lambda r: (r[0] is None, r[0]))
     rows = [r[1] for r in counts]
     blocks = [-(-n // block_rows) for n in rows]
     shares = default_shares(rows) if weights is None else [max(1, weights.get(r[0], 1)) for r in counts]
-    plan = [(r[0], p) for r, p in zip(counts, phases(blocks, shares), strict=True)] if counts else []
-    schema = "_source string, _phases array<struct<first: long, slot: long, period: long, places: array<long>>>"
-    plan = spark.createDataFrame(plan, schema)
+    plan = [("n" if r[0] is None else f"s{r[0]}", p) for r, p in zip(counts, phases(blocks, shares), strict=True)]
+    slots = sum(len(p[3]) for _, ps in plan for p in ps)
+    schema = "name string, phases array<struct<first: long, slot: long, period: long, places: array<long>>>"
+    plan = broadcast_if_small(spark.createDataFrame(plan, schema), {"rows": len(plan), "bytes": 8 * slots})
     cells = max(1, -(-sum(rows) // CELL_ROWS))
-    rest = [c for c in ("doc_id", "text") if c in docs.columns]
-    keyed = docs.withColumn("_hash", F.xxhash64(*rest)).withColumn("_cell", F.pmod("_hash", F.lit(cells)))
-    sizes = keyed.groupBy(source.alias("_source"), F.col("_cell").alias("_at")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    sizes = sizes.join(plan.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_n")
-    joined = keyed.join(sizes, source.eqNullSafe(F.col("_source")) & (F.col("_cell") == F.col("_at")))
-    place = F.row_number().over(Window.partitionBy("source", "_cell").orderBy("_hash", *rest)) - 1 + F.col("_before")
-    placed = joined.withColumn("_place", place).withColumn("_block", F.expr(f"_place div {block_rows}"))
-    placed = placed.withColumn("_phase", F.element_at(F.filter("_phases", lambda p: p["first"] <= F.col("_block")), -1))
-    within = F.col("_block") - F.col("_phase.first")
-    size = F.size("_phase.places")
-    slot = F.col("_phase.slot") + F.expr("(_block - _phase.first) div size(_phase.places)") * F.col("_phase.period")
-    placed = placed.withColumn("_slot", slot + F.get("_phase.places", (within % size).cast("int")))
-    order = F.col("_slot") * block_rows + F.col("_place") % block_rows
-    return placed.withColumn("_order", order).select(*[docs[c] for c in docs.columns], "_block", "_slot", "_order")
+    keyed = packed(docs).withColumn("name", F.when(F.col("doc.source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("doc.source"))))
+    keyed = keyed.withColumn("cell", F.pmod("row", F.lit(cells)))
+    sizes = keyed.groupBy("name", "cell").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("name", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # The join and the window share one exchange of the rows; the plan joins after it.
+    number = F.row_number().over(Window.partitionBy("name", "cell").orderBy("row", "doc.doc_id")) - 1
+    placed = keyed.join(sizes, ["name", "cell"]).withColumn("place", number + F.col("before"))
+    placed = placed.withColumn("block", F.expr(f"place div {block_rows}")).join(plan, "name")
+    placed = placed.withColumn("phase", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("block")), -1))
+    within, size = F.col("block") - F.col("phase.first"), F.size("phase.places")
+    slot = F.col("phase.slot") + F.expr("(block - phase.first) div size(phase.places)") * F.col("phase.period")
+    placed = placed.withColumn("slot", slot + F.get("phase.places", (within % size).cast("int")))
+    order = F.col("slot") * block_rows + F.col("place") % block_rows
+    return placed.select("doc", "block", "slot", order.alias("order"))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
     """``docs`` written in the order of the mix: ranges of it, each sorted."""
-    rows = mixed(docs)
-    return rows.repartitionByRange("_order").sortWithinPartitions("_order").drop("_block", "_slot", "_order")
+    return mixed(docs).repartitionByRange("order").sortWithinPartitions("order").select("doc.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block, slot and order of every document in the mix."""
     rows = mixed(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return rows.select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_order").alias("mix_order"))
+    return rows.select("doc.doc_id", "doc.source", "block", "slot", F.col("order").alias("mix_order"))
