@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import vocabulary as V
-from namesift.functions import prompts
+from namesift.functions import fixed, prompts
 from namesift.functions import text as X
 from namesift.functions.fixed import COUNT_CATEGORIES
 from namesift.operators import evaluation, ids, inference, linking, matching, mentions, retrieval, routing, votes
@@ -92,10 +93,10 @@ def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(retrieval.postings(pages_html(spark, sf_dir)), "postings")
 
 
-def top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_pages(spark: SparkSession, sf_dir: str, rare_pages: int = retrieval.RARE_PAGES) -> DataFrame:
     n_pages = table(spark, sf_dir, "pages").count()
     searches = table(spark, sf_dir, "benchmark")
-    return retrieval.retrieve_pages(page_index(spark, sf_dir), n_pages, searches, "item_id", "text", RESULTS)
+    return retrieval.retrieve_pages(page_index(spark, sf_dir), n_pages, searches, "item_id", "text", RESULTS, rare_pages)
 
 
 def number_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -118,10 +119,18 @@ def number_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents_table = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    documents_table = table(spark, sf_dir, "documents")
     path = stage_path(spark, "csv")
-    write_table(documents_table, path, "csv")
-    return read_table(spark, path, "csv", documents_table.schema)
+    write_table(documents_table, path, "csv", escaped=True)
+    return read_table(spark, path, "csv", documents_table.schema, escaped=True)
+
+
+@query
+def catalog_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"documents_{uuid.uuid4().hex}"
+    write_table(table(spark, sf_dir, "documents").filter("lang = 'en'"), name, "table")
+    write_table(table(spark, sf_dir, "documents").filter("lang <> 'en'"), name, "table")
+    return read_table(spark, name, "table")
 
 
 @query
@@ -185,6 +194,20 @@ def row_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", question.alias("question"))
 
 
+@query
+def gold_title_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    films = part.filter("p_size > 25").select(
+        X.canonical_key(F.col("p_name")).alias("title"),
+        F.lower("p_brand").alias("director"),
+        *[F.lit(None).cast("string").alias(f"actor_{k}") for k in (1, 2, 3)],
+        F.lit(None).cast("double").alias("release_yr"),
+    )
+    labelled = part.filter("p_size <= 40").select(F.col("p_name").alias("movie"))
+    gold = row_to_question.gold_titles(labelled, films).filter(F.col("title").isNotNull())
+    return row_to_question.film_questions(films.distinct(), gold)
+
+
 @query
 def film_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
@@ -271,6 +294,12 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", links.alias("links"))
 
 
+@query
+def page_list_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.array_join(X.page_links(F.col("html"), RESULTS, r'<li><a href="([^"]*)"'), " ")
+    return table(spark, sf_dir, "pages").select("page_id", links.alias("links"))
+
+
 # ---- mentions ----------------------------------------------------------------------
 
 
@@ -310,6 +339,11 @@ class NumberTagger:
         return [[(m, "CARDINAL", 1 / len(m)) for m in re.findall(V.NUMBER_PATTERN, text)] for text in texts]
 
 
+@query
+def mentions_without_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.extract_patterns(documents(spark, sf_dir), V.MENTION_PATTERNS, score=None)
+
+
 @query
 def filter_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pattern_mentions(spark, sf_dir)
@@ -395,6 +429,21 @@ def hits_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.hits_at_k(language_ranks(spark, sf_dir), (1, 2, 5, 20))
 
 
+def majority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leading = votes.majority(matched_languages(spark, sf_dir))
+    return matching.first_match_rank(leading, "majority_match", ids=leading)
+
+
+@query
+def majority_hits_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.hits_at_k(majority_ranks(spark, sf_dir), (1, 2, 5))
+
+
+@query
+def majority_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.mrr(majority_ranks(spark, sf_dir))
+
+
 @query
 def rank_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.rank_histogram(language_ranks(spark, sf_dir))
@@ -439,6 +488,51 @@ def infer_dedup_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.infer(asked, "prompt", inference.PatternBackend(V.NUMBER_PATTERN)).select("id", "answer")
 
 
+@query
+def infer_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = documents(spark, sf_dir).withColumn("prompt", prompts.attribute_prompt(F.col("text"), "name"))
+    answered = inference.infer(asked, "prompt", inference.PatternBackend(V.NAME_PATTERN))
+    return answered.select("id", X.clean_answer(F.col("answer")).alias("attribute"))
+
+
+@query
+def answer_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    instruction = F.concat(F.lit("Which language is this? "), F.col("text"))
+    asked = documents(spark, sf_dir).withColumn("prompt", prompts.instruction_prompt(instruction))
+    answered = inference.infer(asked, "prompt", InstructionReader())
+    return answered.select("id", F.col("answer").cast("bigint").alias("n_read"))
+
+
+class InstructionReader:
+    """Stands in for a model: says how many characters of instruction it was given."""
+
+    name = "reader"
+    model = "length"
+
+    def answer(self, texts: list[str]) -> list[str]:
+        around = len(fixed.INSTRUCTION_HEAD) + len(fixed.INSTRUCTION_TAIL)
+        return [str(len(text) - around) for text in texts]
+
+
+class Unsteady(inference.PatternBackend):
+    """A pattern backend whose every second call fails."""
+
+    calls = 0
+
+    def answer(self, texts: list[str]) -> list[str]:
+        Unsteady.calls += 1
+        if Unsteady.calls % 2:
+            raise TimeoutError("no answer this time")
+        return super().answer(texts)
+
+
+@query
+def infer_after_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = documents(spark, sf_dir).withColumn("prompt", prompts.entity_prompt(F.col("text"), "first number"))
+    calls = inference.Calls(wait=0.001, batch=64)
+    return inference.infer(asked, "prompt", Unsteady(V.NUMBER_PATTERN, name="unsteady"), calls=calls).select("id", "answer")
+
+
 @query
 def classify_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified_documents(spark, sf_dir).select("id", "answer")
@@ -538,6 +632,11 @@ def retrieve_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_pages(spark, sf_dir)
 
 
+@query
+def retrieve_pages_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_pages(spark, sf_dir, rare_pages=5)
+
+
 @query
 def guess_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = title_guess.title_results(top_pages(spark, sf_dir), pages_html(spark, sf_dir))

@@ -75,5 +75,6 @@ LANGUAGE_CUES = (
 NAME_CUES = (("STANDARD", "N"), ("of large", "Y."), ("of old", "N"))
 
 NUMBER_PATTERN = "[0-9]+"
+NAME_PATTERN = "[A-Z][a-z]+ [A-Z][a-z]+"
 
 SIZE_CATEGORIES = {"small ring": "jewel", "large ring": "jewel", "red plate": "dish", "blue plate": "dish"}

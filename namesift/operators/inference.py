@@ -7,7 +7,6 @@ import json
 import logging
 import re
 import time
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -19,9 +18,10 @@ from pyspark.sql import functions as F
 
 from namesift.functions import fixed
 from namesift.functions import text as X
-from namesift.session import stage_path
+from namesift.session import stage, stage_path
 
-CACHE_SCHEMA = "key string, backend string, model string, prompt string, answer string, attempts int"
+CACHE_SCHEMA = "key string, answer string, attempts int, prompt string, backend string, model string"
+WAVES = 4
 
 logger = logging.getLogger(__name__)
 
@@ -110,14 +110,18 @@ def _answer_batches(backend: Backend, calls: Calls, batches: Iterator[pd.DataFra
             model=backend.model,
             answer=[answer for answer, _ in answered],
             attempts=[failed + (answer is not None) for answer, failed in answered],
-        )[["key", "backend", "model", "prompt", "answer", "attempts"]]
+        )[["key", "answer", "attempts", "prompt", "backend", "model"]]
 
 
-def _read_cache(df: DataFrame, path: str) -> DataFrame | None:
+def _read_cache(df: DataFrame, path: str, backend: Backend | None = None) -> DataFrame | None:
+    """Kept answers, of one backend and model if given; only their folders are read then."""
     try:
-        return df.sparkSession.read.schema(CACHE_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+        kept = df.sparkSession.read.schema(CACHE_SCHEMA).parquet(path)
     except AnalysisException:
         return None
+    if backend is None:
+        return kept
+    return kept.filter((F.col("backend") == backend.name) & (F.col("model") == backend.model))
 
 
 def prompt_key(backend: Backend, prompt: Column) -> Column:
@@ -137,35 +141,50 @@ def infer(
     calls: Calls = Calls(),
     max_parallel: int | None = None,
     default: str = fixed.UNKNOWN,
+    waves: int = WAVES,
+    keep_prompts: bool = False,
 ) -> DataFrame:
     """Add the backend's answer to every row.
 
     Different prompts without a kept answer are asked in ``mapInPandas`` tasks and
-    written to ``cache``, a parquet folder (a fresh one if none is named), before
-    anything reads them, so a later action or a lost executor calls no model again
-    beyond the tasks that were running. Spark may run a task twice; reading the
+    written to ``cache``, a parquet folder by backend and model (a fresh one if none is
+    named), before anything reads them, so a later action or a lost executor calls no
+    model again beyond the tasks that were running. They are asked in ``waves`` by
+    ranges of their key, each committed on its own, so a run that fails late keeps
+    what earlier waves were answered. Prompt texts are kept only on request. Spark may run a task twice; reading the
     cache takes one answer per key, so the stored answer stays single-valued. A
     prompt that failed to the end gets ``default`` and is asked again next run.
 
-    ``max_parallel`` sets how many calls run at once; with ``calls.min_interval``
-    that bounds the request rate. Rows with a NULL prompt get a NULL answer.
+    ``max_parallel`` sets how many calls run at once, by default one per core of the
+    cluster; with ``calls.min_interval`` that bounds the request rate. Rows with a NULL
+    prompt get a NULL answer and take no part in the join.
     """
     cache = cache or stage_path(df.sparkSession, "answers")
     keyed = df.withColumn("_key", prompt_key(backend, F.col(prompt)))
     asked = keyed.filter(F.col(prompt).isNotNull())
     todo = asked.select(F.col("_key").alias("key"), F.col(prompt).alias("prompt")).distinct()
-    known = _read_cache(df, cache)
+    known = _read_cache(df, cache, backend)
     if known is not None:
         todo = todo.join(known.filter("answer is not null").select("key"), "key", "left_anti")
-    if max_parallel:
-        todo = todo.repartition(max_parallel, "key")
-    fresh = todo.mapInPandas(functools.partial(_answer_batches, backend, calls), CACHE_SCHEMA)
-    fresh.write.parquet(f"{cache}/{uuid.uuid4().hex}")
-
-    kept = _read_cache(df, cache).filter("answer is not null").groupBy("key").agg(F.min("answer").alias("_answer"))
-    joined = keyed.join(kept.withColumnRenamed("key", "_key"), "_key", "left")
-    value = F.when(F.col("_key").isNotNull(), F.coalesce("_answer", F.lit(default)))
-    return joined.withColumn(answer, value).drop("_key", "_answer")
+    todo = stage(todo, "prompts")
+    parallel = max_parallel or df.sparkSession.sparkContext.defaultParallelism
+    wave = F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint"), F.lit(waves))
+    for i in range(waves):
+        # A number of partitions that is asked for is not coalesced at run time.
+        part = todo.filter(wave == i).repartition(parallel, "key")
+        fresh = part.mapInPandas(functools.partial(_answer_batches, backend, calls), CACHE_SCHEMA)
+        if not keep_prompts:
+            fresh = fresh.withColumn("prompt", F.lit(None).cast("string"))
+        fresh.write.mode("append").partitionBy("backend", "model").parquet(cache)
+
+    kept = _read_cache(df, cache, backend)
+    if kept is None:
+        kept = df.sparkSession.createDataFrame([], CACHE_SCHEMA)
+    kept = kept.filter("answer is not null").groupBy("key").agg(F.min("answer").alias("_answer"))
+    joined = asked.join(kept.withColumnRenamed("key", "_key"), "_key", "left")
+    joined = joined.withColumn(answer, F.coalesce("_answer", F.lit(default))).drop("_key", "_answer")
+    empty = df.filter(F.col(prompt).isNull()).withColumn(answer, F.lit(None).cast("string"))
+    return joined.unionByName(empty)
 
 
 def keep_allowed(answer: Column, allowed: Sequence[str], default: str = fixed.UNKNOWN) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesift.functions import text as X
@@ -21,6 +21,8 @@ from namesift.operators.sizing import broadcast_if_small, measure
 MENTION_COLUMNS = ["id", "pos", "text", "entity_detected", "score"]
 KEY_WORDS = 3
 FIRST_WORDS = 10_000
+TAGGED_AT_ONCE = 256
+FAILED = "FAILED"
 
 logger = logging.getLogger(__name__)
 
@@ -35,13 +37,19 @@ def split_sentences(docs: DataFrame, id_col: str = "id", text_col: str = "text")
 def extract_patterns(
     docs: DataFrame, patterns: Mapping[str, str], id_col: str = "id", text_col: str = "text", score: float | None = 1.0
 ) -> DataFrame:
-    """Mentions found by one regular expression per entity type, in one pass over the text."""
+    """Mentions found by one regular expression per entity type, in one pass over the text.
 
-    def found(kind: str, pattern: str):
-        hits = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
-        return F.transform(hits, lambda hit: F.struct(hit.alias("text"), F.lit(kind).alias("entity_detected")))
+    All patterns search the text together, so mentions come in text order, ``pos``
+    numbers them in that order, and they do not overlap: where several patterns fit at
+    one place, the one listed first takes it. A pattern may not look beyond its match.
+    """
+    either = "|".join(f"(?:{pattern})" for pattern in patterns.values())
+
+    def typed(hit: Column) -> Column:
+        kinds = [F.when(hit.rlike(f"^(?:{pattern})$"), F.lit(kind)) for kind, pattern in patterns.items()]
+        return F.struct(hit.alias("text"), F.coalesce(*kinds).alias("entity_detected"))
 
-    every = F.concat(*[found(kind, pattern) for kind, pattern in patterns.items()])
+    every = F.transform(F.regexp_extract_all(F.col(text_col), F.lit(either), F.lit(0)), typed)
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(every).alias("pos", "m"))
     return rows.select(
         "id", "pos", "m.text", "m.entity_detected", F.lit(score).cast("double").alias("score")
@@ -122,39 +130,58 @@ class Tagger(Protocol):
     def tag(self, texts: list[str]) -> list[list[tuple[str, str, float]]]: ...
 
 
-def _tag_batches(tagger: Tagger, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tag(tagger: Tagger, texts: list[str]) -> list[list]:
+    tagged = tagger.tag(texts)
+    if len(tagged) != len(texts):
+        raise ValueError("a tagger must return one list per text")
+    return tagged
+
+
+def _tag_batches(tagger: Tagger, size: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def tag_one(text: str) -> list:
         try:
-            return tagger.tag([text])[0]
+            return _tag(tagger, [text])[0]
         except Exception:
             logger.warning("a text could not be tagged", exc_info=True)
-            return []
+            return [(None, FAILED, None)]
 
     for batch in batches:
-        texts = batch["text"].tolist()
-        try:
-            tagged = tagger.tag(texts)
-        except Exception:
-            tagged = [tag_one(text) for text in texts]
-        rows = [
-            (key, pos, mention, kind, score)
-            for key, mentions in zip(batch["id"], tagged)
-            for pos, (mention, kind, score) in enumerate(mentions)
-        ]
-        yield pd.DataFrame(rows, columns=MENTION_COLUMNS)
-
-
-def extract_with(docs: DataFrame, tagger: Tagger, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Mentions from a user's model, one call per Arrow batch.
+        for start in range(0, len(batch), size):
+            part = batch.iloc[start : start + size]
+            texts = part["text"].tolist()
+            try:
+                tagged = _tag(tagger, texts)
+            except Exception:
+                tagged = [tag_one(text) for text in texts]
+            rows = [
+                (key, pos, mention, kind, score)
+                for key, mentions in zip(part["id"], tagged)
+                for pos, (mention, kind, score) in enumerate(mentions)
+            ]
+            yield pd.DataFrame(rows, columns=MENTION_COLUMNS)
+
+
+def extract_with(
+    docs: DataFrame,
+    tagger: Tagger,
+    id_col: str = "id",
+    text_col: str = "text",
+    batch: int = TAGGED_AT_ONCE,
+    keep_failed: bool = False,
+) -> DataFrame:
+    """Mentions from a user's model, called with at most ``batch`` texts at a time.
 
-    A text the model fails on gives no mentions and does not stop the job.
+    A call that fails, or that returns another number of lists than it was given texts,
+    is repeated text by text. A text that fails on its own does not stop the job: it
+    gives no mentions, or with ``keep_failed`` one row of type ``FAILED`` without text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     key_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(
-        functools.partial(_tag_batches, tagger),
+    found = rows.mapInPandas(
+        functools.partial(_tag_batches, tagger, batch),
         f"id {key_type}, pos int, text string, entity_detected string, score double",
     )
+    return found if keep_failed else found.filter(F.col("text").isNotNull())
 
 
 def filter_mentions(mentions: DataFrame, entities: Sequence[str], include: bool = True) -> DataFrame:

@@ -42,18 +42,20 @@ def retrieve_pages(
     """The ``n`` best pages per search: ``search_id, page_id, score, rank``.
 
     The score adds tf times idf over the shared words, with idf in whole
-    thousandths, so it is exact and ties break by page. ``index`` should be a
-    stored table, because it is read several times.
-
-    Words on more than ``rare_pages`` pages are not expanded for every search.
-    Rare words propose pages first. If the n-th proposal already scores more than
-    all common words of the search could add, no other page can enter, and common
-    words are looked up for the proposed pages alone. Searches for which that does
-    not hold use all their words, so results are the same for any ``rare_pages``.
+    thousandths, so it is exact and ties break by page. A word whose idf rounds to
+    zero says nothing about a page, and a page that shares only such words is no
+    result. ``index`` should be a stored table, because it is read several times.
+
+    Words on more than ``rare_pages`` pages are not expanded where they need not be.
+    Rare words propose pages first, and the n-th best proposal of a search is its
+    bar. Of the common words, those that together cannot lift a page to the bar are
+    set aside: a page has to hold one of the other words to be among the best. Words
+    set aside are then looked up for the proposed pages alone. Results are the
+    same for any ``rare_pages``.
     """
     weights = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"))
     weights = weights.withColumn("idf", F.round(F.log(F.lit(float(n_pages)) / F.col("df")) * IDF_STEP).cast("bigint"))
-    terms = query_terms(searches, key, text).join(weights, "term")
+    terms = query_terms(searches, key, text).join(weights.filter("idf > 0"), "term")
     terms = terms.select(
         "search_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "max_tf", (F.col("df") > rare_pages).alias("common")
     )
@@ -62,23 +64,21 @@ def retrieve_pages(
     def score(hits: DataFrame) -> DataFrame:
         return hits.groupBy("search_id", "page_id").agg(F.sum(F.col("weight") * F.col("tf")).alias("score"))
 
-    rare = terms.filter(~F.col("common"))
-    proposed = score(rare.select("search_id", "term", "weight").join(index, "term"))
-    if terms.filter("common").isEmpty():
-        return _top(proposed, n)
+    common = terms.filter("common")
+    rare = terms.filter("not common").select("search_id", "term", "weight")
+    if common.isEmpty():
+        return _top(score(rare.join(index, "term")), n)
+    proposed = stage(score(rare.join(index, "term")), "proposed")
     bar = _top(proposed, n).groupBy("search_id").agg(F.min("score").alias("_bar"), F.count(F.lit(1)).alias("_n"))
-    reach = terms.groupBy("search_id").agg(
-        F.coalesce(F.sum(F.when(F.col("common"), F.col("weight") * F.col("max_tf"))), F.lit(0)).alias("_reach")
+    bar = bar.filter(F.col("_n") == n).select("search_id", "_bar")
+    upto = Window.partitionBy("search_id").orderBy(F.col("weight") * F.col("max_tf"), "term")
+    reach = common.withColumn("_reach", F.sum(F.col("weight") * F.col("max_tf")).over(upto))
+    reach = stage(
+        reach.join(bar, "search_id", "left").select("search_id", "term", "weight", (F.col("_reach") < F.coalesce("_bar", F.lit(0))).alias("aside")),
+        "common-terms",
     )
-    enough = (F.col("_n") == n) & (F.col("_bar") > F.col("_reach")) | (F.col("_reach") == 0)
-    plan = reach.join(bar, "search_id", "left").select("search_id", F.coalesce(enough, F.lit(False)).alias("_enough"))
-    easy, hard = plan.filter("_enough").select("search_id"), plan.filter("not _enough").select("search_id")
-
-    found = proposed.join(easy, "search_id", "left_semi")
-    common = terms.filter("common").select("search_id", "term", "weight")
-    added = found.select("search_id", "page_id").join(common, "search_id").join(index, ["page_id", "term"])
-    added = score(added)
-    easy_scores = found.unionByName(added).groupBy("search_id", "page_id").agg(F.sum("score").alias("score"))
-    all_terms = terms.select("search_id", "term", "weight").join(hard, "search_id", "left_semi")
-    hard_scores = score(all_terms.join(index, "term"))
-    return _top(easy_scores.unionByName(hard_scores), n)
+    needed = score(reach.filter("not aside").drop("aside").join(index, "term"))
+    found = proposed.unionByName(needed).groupBy("search_id", "page_id").agg(F.sum("score").alias("score"))
+    aside = found.select("search_id", "page_id").join(reach.filter("aside").drop("aside"), "search_id")
+    added = score(aside.join(index, ["page_id", "term"]))
+    return _top(found.unionByName(added).groupBy("search_id", "page_id").agg(F.sum("score").alias("score")), n)

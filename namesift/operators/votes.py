@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +57,15 @@ def majority(votes: DataFrame, more_than: int = 1) -> DataFrame:
 def rank_votes(votes: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Add ``relevance_rank``: 1 for the strongest vote of an id, ties share a rank.
 
-    Ids with up to ``window_rows`` votes are ranked by a window. Larger ids are
-    ranked by counting, see ``_rank_large``. ``votes`` is read several times: store
-    it first if it is costly.
+    Mean scores are compared as whole billionths, whatever their range; a missing
+    one comes last. Ids with up to ``window_rows`` votes are ranked by a window. Larger
+    ids are ranked by counting the same units, see ``_rank_large``, so ranks do not
+    depend on ``window_rows``. ``votes`` is read several times: store it first if it
+    is costly.
     """
     sizes = votes.groupBy("id").agg(F.count(F.lit(1)).alias("_votes"))
-    sized = votes.join(sizes, "id")
-    order = Window.partitionBy("id").orderBy(F.col("n_occur").desc(), F.col("avg_score").desc())
+    sized = votes.join(sizes, "id").withColumn("_units", _units(F.col("avg_score")))
+    order = Window.partitionBy("id").orderBy(F.col("n_occur").desc(), F.col("_units").desc_nulls_last())
     small = sized.filter(F.col("_votes") <= window_rows).withColumn("relevance_rank", F.rank().over(order))
     large = _rank_large(sized.filter(F.col("_votes") > window_rows))
     columns = [*votes.columns, "relevance_rank"]
@@ -74,11 +78,13 @@ def _rank_large(votes: DataFrame) -> DataFrame:
     Three levels: occurrences of an id, then the leading digits of the score, then
     its trailing digits. Votes are counted per level before each shuffle. With N
     mentions an id has fewer than 1.5 * sqrt(N) different occurrence counts (they
-    add up to at most N), and the two score levels have at most 31,625 steps each
-    for scores in 0..1, so no window holds more rows than that.
+    add up to at most N). The two score levels have as many steps each as the square
+    root of the measured range of the scores in billionths, 31,624 for scores in 0..1.
     """
-    step = 31_623
-    units = F.coalesce(_units(F.col("avg_score")), F.lit(-1).cast("bigint"))
+    low, high = votes.agg(F.min("_units"), F.max("_units")).first()
+    low, high = (0, 0) if low is None else (low - 1, high)
+    step = math.isqrt(high - low) + 1
+    units = F.coalesce(F.col("_units"), F.lit(low)) - low
     keyed = votes.withColumn("_coarse", F.floor(units / step)).withColumn("_fine", units - F.col("_coarse") * step)
     levels = ["id", "n_occur", "_coarse", "_fine"]
     ranked = keyed.withColumn("relevance_rank", F.lit(1).cast("bigint"))

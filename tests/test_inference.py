@@ -1,4 +1,5 @@
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,33 @@ def test_only_pairs_the_rule_rejects_are_asked(spark, tmp_path):
     got = sorted(r["is_first_name"][:12] for r in judged.collect())
     assert got == ["Unknown", "Y", '[{"ROLE":"US', '[{"ROLE":"US']
     assert len(calls_made(log)) == 1
+
+
+def test_many_short_prompts_are_answered_by_several_tasks(spark, tmp_path):
+    df = spark.range(20_000).select("id", F.concat(F.lit("p"), "id").alias("prompt"))
+    cache = str(tmp_path / "cache")
+    out = inference.infer(df, "prompt", Recorder(tmp_path / "log"), cache=cache, calls=inference.Calls(batch=1000), waves=1)
+    files = [f for _, _, names in os.walk(cache) for f in names if f.endswith(".parquet")]
+    assert len(files) > 1 and out.filter("answer = upper(prompt)").count() == 20_000
+
+
+def test_a_failing_run_keeps_earlier_waves(spark, tmp_path, monkeypatch):
+    df = spark.range(64).select("id", F.concat(F.lit("p"), "id").alias("prompt"))
+    cache, real = str(tmp_path / "cache"), inference.functools.partial
+    made = []
+
+    def partial(*args):
+        made.append(args)
+        if len(made) == 3:
+            raise RuntimeError("stopped in the third wave")
+        return real(*args)
+
+    monkeypatch.setattr(inference, "functools", SimpleNamespace(partial=partial))
+    with pytest.raises(RuntimeError):
+        inference.infer(df, "prompt", Recorder(tmp_path / "log"), cache=cache)
+    monkeypatch.undo()
+    kept = inference._read_cache(df, cache).count()
+    assert 0 < kept < 64
+    before = len(calls_made(tmp_path / "log"))
+    inference.infer(df, "prompt", Recorder(tmp_path / "log"), cache=cache)
+    assert before == kept and len(calls_made(tmp_path / "log")) == 64

@@ -99,6 +99,29 @@ def test_a_failing_text_gives_no_mentions(spark):
     assert got == [(1, 0, "a", "WORD", 1.0), (1, 1, "b", "WORD", 1.0), (5, 0, "c", "WORD", 1.0)]
 
 
+class Short:
+    """Returns one list too few unless asked about a single text."""
+
+    def tag(self, texts):
+        return [[(t, "T", 1.0)] for t in texts][: len(texts) - 1 or 1]
+
+
+def test_a_tagger_that_returns_too_little_loses_no_text(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id bigint, text string").coalesce(1)
+    assert [r[0] for r in rows(mentions.extract_with(docs, Short()))] == [1, 2, 3]
+    failed = spark.createDataFrame([(1, "bad"), (2, "ok")], "id bigint, text string").coalesce(1)
+    got = mentions.extract_with(failed, Shaky(), batch=1, keep_failed=True)
+    assert {(r["id"], r["entity_detected"]) for r in got.collect()} == {(1, "FAILED"), (2, "WORD")}
+
+
+def test_pattern_mentions_come_in_text_order_without_overlap(spark):
+    docs = spark.createDataFrame([(1, "Send 12 boxes to a@b.org or 1.2.3.4, 7% off")], "id int, text string")
+    patterns = {"EMAIL": "[a-z]+@[a-z.]+[a-z]", "IPV4": "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "PERCENT": "[0-9]+%", "CARDINAL": "[0-9]+"}
+    found = mentions.extract_patterns(docs, patterns)
+    assert rows(mentions.search_text(found)) == [(1, "12 a@b.org 1.2.3.4 7%")]
+    assert [r[3] for r in rows(found)] == ["CARDINAL", "EMAIL", "IPV4", "PERCENT"]
+
+
 def test_patterns_sentences_and_search_text(spark):
     docs = spark.createDataFrame([(1, "Mail a@b.org 12 or 12. Then 7!"), (2, "none"), (3, None)], "id int, text string")
     found = mentions.extract_patterns(docs, {"EMAIL": "[a-z]+@[a-z.]+[a-z]", "CARDINAL": "[0-9]+"}, score=None)
@@ -159,6 +182,14 @@ def test_rank_is_the_same_by_window_and_by_counting(spark, window_rows):
     assert got == expected
 
 
+@pytest.mark.parametrize("window_rows", [0, 1000])
+def test_fine_and_large_scores_rank_alike_either_way(spark, window_rows):
+    data = [(1, "a", 3, 0.12345678911), (1, "b", 3, 0.12345678912), (1, "c", 3, 25.5), (1, "d", 3, -2.0), (1, "e", 3, None), (1, "f", 4, 0.0)]
+    counted = spark.createDataFrame(data, "id int, text string, n_occur bigint, avg_score double")
+    got = {r["text"]: r["relevance_rank"] for r in votes.rank_votes(counted, window_rows).collect()}
+    assert got == {"f": 1, "c": 2, "a": 3, "b": 3, "d": 5, "e": 6}
+
+
 def test_no_window_over_a_whole_table_in_votes(spark):
     plan = plan_of(count(spark))
     assert "Window" not in plan and "SinglePartition" not in plan
@@ -356,6 +387,8 @@ def brute_top(pages, searches, n):
             for p, w in words.items():
                 if term in w:
                     idf = math.floor(math.log(len(pages) / df[term]) * 1000 + 0.5)
+                    if not idf:
+                        continue
                     scores[p] = scores.get(p, 0) + idf * w.count(term)
         best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:n]
         out += [(s, p, v, k + 1) for k, (p, v) in enumerate(best)]
@@ -374,6 +407,16 @@ def test_retrieval_is_exact_for_any_split_of_the_words(spark, rare_pages):
     assert rows(got) == brute_top(pages, searches, 4)
 
 
+@pytest.mark.parametrize("rare_pages", [0, 4, 1000])
+def test_a_word_on_every_page_finds_none(spark, rare_pages):
+    pages = [(k, "the w3" if k == 3 else "the" if k % 2 else "the of") for k in range(8)]
+    searches = [(1, "the"), (2, "the w3"), (3, "the of w3")]
+    index = retrieval.postings(spark.createDataFrame(pages, "page_id int, html string"))
+    got = retrieval.retrieve_pages(index, 8, spark.createDataFrame(searches, "sid int, q string"), "sid", "q", 3, rare_pages)
+    assert rows(got) == brute_top(pages, searches, 3)
+    assert {r["search_id"] for r in got.collect()} == {2, 3}
+
+
 def test_guess_title(spark):
     results = spark.createDataFrame(
         [("Pacino film", "The_Godfather film"), ("Pacino film", "godfather  Two"), ("x", "x"), ("y", "b a")],

@@ -54,3 +54,12 @@ def test_stage_uses_the_shared_folder(spark):
     staged = stage(spark.createDataFrame(ROWS, SCHEMA), "check")
     assert all(f.startswith("file://" + stage_root(spark)) for f in staged.inputFiles())
     assert staged.count() == 3
+
+
+def test_escaped_csv_keeps_line_breaks_on_one_line(spark, tmp_path):
+    data = [(1, 'a "b", c\nd\r\n\\n \\b \\\\ e', None), (2, "", "\\"), (3, "\n", "\\nb")]
+    df = spark.createDataFrame(data, "id int, text string, other string")
+    write_table(df, str(tmp_path / "t"), "csv", escaped=True)
+    assert spark.read.text(str(tmp_path / "t" / "*.csv")).filter("value not like 'id,%'").count() == 3
+    back = read_table(spark, str(tmp_path / "t"), "csv", df.schema, escaped=True)
+    assert sorted(map(tuple, back.collect())) == data
