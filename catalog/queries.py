@@ -330,6 +330,11 @@ def extract_mentions_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.extract_with(documents(spark, sf_dir), NumberTagger())
 
 
+@query
+def extract_mentions_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.extract_by_sentence(documents(spark, sf_dir), NumberTagger())
+
+
 class NumberTagger:
     """Stands in for a model: numbers, scored by their length."""
 

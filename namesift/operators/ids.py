@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEPARATOR = "\u001f"
+BUCKET_ROWS = 200_000
 
 
 def content_hash(columns: Sequence[str]) -> Column:
@@ -16,51 +17,64 @@ def content_hash(columns: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(SEPARATOR, *parts))
 
 
+def _digits(n: int) -> int:
+    """Hex digits that cut ``n`` values into buckets of about ``BUCKET_ROWS``, five at most."""
+    digits = 1
+    while digits < 5 and n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def assign_ids(
     df: DataFrame,
     by: Sequence[str] | None = None,
     id_col: str = "id",
-    digits: int = 3,
+    digits: int | None = None,
     copies_per_task: int = 100_000,
 ) -> DataFrame:
     """Number the rows 0..n-1 in the order of their content hash.
 
-    ``by`` names columns that identify a row. Without it every column counts and
-    whole copies of a row get consecutive numbers.
+    ``by`` names columns that identify a row; rows that repeat them are ordered by
+    their other columns. Without it every column counts and whole copies of a row
+    get consecutive numbers.
 
-    The leading hex digits of the hash cut the rows into 16**digits even buckets.
-    Bucket totals give each bucket its first number, and rows are numbered inside
-    their bucket. The totals table has at most 16**digits rows, which bounds both
-    its window and its broadcast. Copies are counted before the shuffle and
-    written out again afterwards in blocks, so a row that makes up a third of the
-    table is spread over many tasks.
+    Numbers are worked out on hashes with their counts alone: the leading hex digits
+    (by default as many as the measured count calls for) cut them into even buckets,
+    bucket totals give each bucket its first number, and hashes are numbered inside
+    their bucket. The totals have at most 16**digits rows, which bounds their window and
+    their broadcast. Whole rows are shuffled once, by their hash, to meet their
+    number. Copies meet as one row with a count; up to ``copies_per_task`` of them
+    are written out where they are, more in blocks over many tasks.
     """
     columns = list(df.columns)
-    if by is None:
-        rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    else:
-        rows = df.withColumn("_copies", F.lit(1).cast("bigint"))
-    rows = rows.withColumn("_hash", content_hash(by or columns))
-    rows = rows.withColumn("_bucket", F.substring("_hash", 1, digits))
+    hashed = df.withColumn("_hash", content_hash(by or columns))
+    counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_copies"))
+    if digits is None:
+        digits = _digits(df.count())
+    counts = counts.withColumn("_bucket", F.substring("_hash", 1, digits))
 
-    sums = rows.groupBy("_bucket").agg(F.sum("_copies").alias("_size"))
+    sums = counts.groupBy("_bucket").agg(F.sum("_copies").alias("_size"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
 
-    inside = Window.partitionBy("_bucket").orderBy("_hash", *(by or columns))
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_bucket").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("_copies").over(before), F.lit(0))
-    numbered = rows.withColumn("_offset", offset).join(F.broadcast(starts), "_bucket")
-    numbered = numbered.withColumn(id_col, F.col("_start") + F.col("_offset"))
+    numbers = counts.withColumn("_offset", offset).join(F.broadcast(starts), "_bucket")
+    numbers = numbers.select("_hash", "_copies", (F.col("_start") + F.col("_offset")).alias("_first"))
     if by is not None:
-        return numbered.select(id_col, *columns)
+        rest = [c for c in columns if c not in by]
+        own = Window.partitionBy("_hash").orderBy(content_hash(rest) if rest else F.lit(0))
+        joined = hashed.join(numbers, "_hash")
+        return joined.withColumn("_at", F.row_number().over(own) - 1).select((F.col("_first") + F.col("_at")).alias(id_col), *columns)
 
+    once = hashed.groupBy("_hash").agg(*[F.any_value(c).alias(c) for c in columns])
+    joined = once.join(numbers, "_hash")
+    few = joined.filter(F.col("_copies") <= copies_per_task)
+    few = few.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
+    many = joined.filter(F.col("_copies") > copies_per_task)
     blocks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {copies_per_task}"))
-    spread = numbered.withColumn("_block", F.explode(blocks)).repartition("_hash", "_block")
+    many = many.withColumn("_block", F.explode(blocks)).repartition("_hash", "_block")
     first = F.col("_block") * copies_per_task
     last = F.least(first + copies_per_task, F.col("_copies")) - 1
-    return (
-        spread.withColumn("_copy", F.explode(F.sequence(first, last)))
-        .withColumn(id_col, F.col(id_col) + F.col("_copy"))
-        .select(id_col, *columns)
-    )
+    many = many.withColumn("_copy", F.explode(F.sequence(first, last))).drop("_block")
+    return few.unionByName(many).select((F.col("_first") + F.col("_copy")).alias(id_col), *columns)

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesift.functions import text as X
@@ -184,6 +184,22 @@ def extract_with(
     return found if keep_failed else found.filter(F.col("text").isNotNull())
 
 
+def extract_by_sentence(
+    docs: DataFrame, tagger: Tagger, id_col: str = "id", text_col: str = "text", batch: int = TAGGED_AT_ONCE
+) -> DataFrame:
+    """Mentions from a user's model that reads one sentence at a time, numbered through each text.
+
+    A text's mentions are ordered by sentence and then by place, in a window that holds
+    no more than the text does.
+    """
+    pieces = split_sentences(docs, id_col, text_col).select(F.struct("id", "pos").alias("at"), "sentence")
+    found = extract_with(pieces, tagger, "at", "sentence", batch)
+    order = Window.partitionBy("id.id").orderBy("id.pos", "pos")
+    return found.select(
+        F.col("id.id").alias("id"), (F.row_number().over(order) - 1).alias("pos"), "text", "entity_detected", "score"
+    )
+
+
 def filter_mentions(mentions: DataFrame, entities: Sequence[str], include: bool = True) -> DataFrame:
     """Keep the listed entity types, or everything else."""
     listed = F.col("entity_detected").isin(*entities)

@@ -31,6 +31,28 @@ def test_ids_by_key_are_repeatable(spark):
     assert first == second
 
 
+def test_ids_of_repeated_keys_and_one_exchange_of_whole_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (1, "b")], "k int, text string")
+    assert sorted(r["id"] for r in ids.assign_ids(df, by=["k"]).collect()) == [0, 1, 2, 3]
+    for by in (["k"], None):
+        plan = plan_of(ids.assign_ids(df, by=by, digits=1))
+        moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(_hash" in line]
+        assert moved and "Exchange hashpartitioning(k" not in plan
+
+
+def test_sentences_pass_over_abbreviations(spark):
+    text = "Dr. Smith met Mr. Jones in the U.S. today. He paid 3.5 dollars! Was it J. R. Roe? Yes."
+    docs = spark.createDataFrame([(1, text), (2, None)], "id int, text string")
+    got = [r["sentence"] for r in mentions.split_sentences(docs).orderBy("pos").collect()]
+    assert got == ["Dr. Smith met Mr. Jones in the U.S. today.", "He paid 3.5 dollars!", "Was it J. R. Roe?", "Yes."]
+
+
+def test_mentions_by_sentence_are_numbered_through_the_text(spark):
+    docs = spark.createDataFrame([(1, "a b. c! d"), (2, "bad. e"), (3, None)], "id int, text string")
+    got = rows(mentions.extract_by_sentence(docs, Shaky()))
+    assert [(r[0], r[1], r[2]) for r in got] == [(1, 0, "a"), (1, 1, "b."), (1, 2, "c!"), (1, 3, "d"), (2, 0, "e")]
+
+
 # ---- mentions ------------------------------------------------------------------------
 
 PHRASES = [
