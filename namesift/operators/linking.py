@@ -6,8 +6,10 @@ anchor), and only texts that share the anchor are compared. A contained text bri
 its anchor with it, so no match is lost:
 
 * words strictly inside the shorter text appear whole and in sequence in the longer
-  one, so up to three inner words serve as anchor if they are long enough;
-* otherwise the last eight characters do, or all of a text shorter than that.
+  one, so up to three inner words can serve as anchor if they are long enough;
+* any eight characters of it do too, or all of a text shorter than that.
+
+Of these the rarest is taken.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from namesift.session import stage
 GRAM_WORDS = 3
 GRAM_CHARS = 8
 LISTED_ANCHORS = 10_000
+RARE = 4
 ALL_KINDS = [f"w{k}" for k in range(1, GRAM_WORDS + 1)] + [f"c{q}" for q in range(1, GRAM_CHARS + 1)]
 
 
@@ -34,30 +37,47 @@ def _word_windows(words: Column, n: int) -> Column:
 
 
 def with_anchor(df: DataFrame, norm: str) -> DataFrame:
-    """Add ``_kind`` and ``_gram``: what the text is looked up by.
+    """Add ``_kind`` and ``_gram``: what the text is looked up by; empty texts have none and are left out.
+
+    Any gram of a text that a longer text must hold as well can be its anchor: runs of
+    inner words of ``GRAM_CHARS`` or more, and all windows of that many characters. The
+    one that fewest different texts of ``df`` share is taken, so a common ending is no
+    anchor; among grams shared by at most ``RARE`` texts words come first, as they are
+    cheaper to look up. Grams are counted on different texts and ids are not carried.
 
     ``_gram`` is declared non-null: a null check on it would be pushed below the
     steps that build it and repeat them inside one expression for every window.
     """
-    words = F.split(norm, " ")
+    values = df.select(F.col(norm).alias("_norm")).filter("_norm != ''").distinct()
+    words = F.split("_norm", " ")
     inner = X.bind(words, lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
 
-    def longest(inside: Column) -> Column:
-        runs = [F.when(F.least(F.size(inside), F.lit(GRAM_WORDS)) == k, _word_windows(inside, k)) for k in range(1, GRAM_WORDS + 1)]
-        return F.array_max(F.transform(F.coalesce(*runs), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    def option(kind: Column, gram: Column) -> Column:
+        return F.struct(kind.alias("kind"), F.concat(kind, F.lit(":"), gram).alias("gram"))
 
-    split = df.withColumn("_inner", inner).withColumn("_k", F.least(F.size("_inner"), F.lit(GRAM_WORDS)))
-    split = split.withColumn("_longest", longest(F.col("_inner")))
-    by_words = F.coalesce(F.col("_longest.n") >= GRAM_CHARS, F.lit(False))
-    kind = F.when(by_words, F.concat(F.lit("w"), F.col("_k"))).otherwise(
-        F.concat(F.lit("c"), F.least(F.length(norm), F.lit(GRAM_CHARS)))
-    )
-    gram = F.when(by_words, F.col("_longest.w")).otherwise(F.right(F.col(norm), F.lit(GRAM_CHARS)))
-    return (
-        split.withColumn("_kind", kind)
-        .withColumn("_gram", F.coalesce(F.concat(F.col("_kind"), F.lit(":"), gram), F.lit("")))
-        .drop("_inner", "_k", "_longest")
+    def by_words(inside: Column) -> Column:
+        runs = [F.when(F.least(F.size(inside), F.lit(GRAM_WORDS)) == k, _word_windows(inside, k)) for k in range(1, GRAM_WORDS + 1)]
+        long = F.filter(F.coalesce(*runs, F.array().cast("array<string>")), lambda w: F.length(w) >= GRAM_CHARS)
+        kind = F.concat(F.lit("w"), F.least(F.size(inside), F.lit(GRAM_WORDS)))
+        return F.transform(long, lambda w: option(kind, w))
+
+    cut = F.least(F.length("_norm"), F.lit(GRAM_CHARS))
+    places = F.sequence(F.lit(1), F.length("_norm") - cut + 1)
+    by_chars = F.transform(places, lambda i: option(F.concat(F.lit("c"), cut), F.substring(F.col("_norm"), i, cut)))
+    options = values.withColumn("_inner", inner).withColumn("o", F.explode(F.array_distinct(F.concat(by_words(F.col("_inner")), by_chars))))
+    options = options.select("_norm", "o.kind", "o.gram")
+    shared = options.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(
+        F.when(F.col("n") <= RARE, 0).otherwise(F.col("n")).alias("n"),
+        F.startswith("kind", F.lit("c")).alias("c"),
+        (-F.length("gram")).alias("length"),
+        "gram",
+        "kind",
     )
+    best = options.join(shared, "gram").groupBy("_norm").agg(F.min(rank).alias("_best"))
+    joined = df.join(best, F.col(norm) == F.col("_norm"))
+    columns = [F.col("_best.kind").alias("_kind"), F.coalesce("_best.gram", F.lit("")).alias("_gram")]
+    return joined.select(*[df[c] for c in df.columns], *columns)
 
 
 def with_grams(

@@ -499,3 +499,19 @@ def test_one_id_with_most_rows(spark):
     finally:
         for name in ("autoBroadcastJoinThreshold", "adaptive.skewJoin.skewedPartitionThresholdInBytes", "adaptive.advisoryPartitionSizeInBytes"):
             spark.conf.unset(f"spark.sql.{name}")
+
+
+def test_a_common_ending_is_no_anchor(spark, monkeypatch):
+    names = spark.range(1000).select("id", F.concat(F.lit("a"), "id", F.lit(" main street")).alias("text"))
+    written = {}
+
+    def stage(df, name):
+        out = kept(df, name)
+        written[name] = out.count()
+        return out
+
+    kept = linking.stage
+    monkeypatch.setattr(linking, "stage", stage)
+    entries = names.toDF("entry", "entry_text")
+    found = linking.resolve_text(names, entries).filter("match_type = 'exact'").count()
+    assert found == 1000 and written["pairs"] < 10_000
