@@ -48,8 +48,9 @@ LEET = {
     "(": "c",
     "*": "abcdefghijklmnopqrstuvwxyz",
 }
-# Log costs of the channel: writing a letter as it is is free.
-SUBSTITUTED, DROPPED, REPEATED = -1.0, -0.7, -0.4
+# Log costs of the channel: writing a letter as it is is free. A mark that can stand for
+# a letter is less likely to be there for nothing than any other mark.
+SUBSTITUTED, DROPPED, DROPPED_LEET, REPEATED = -1.0, -0.7, -2.0, -0.4
 
 
 def _symbol(c: str) -> int:
@@ -115,11 +116,12 @@ def language_model(docs: DataFrame) -> np.ndarray:
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
 
 
-def decode(span: str, model: np.ndarray) -> str:
+def decode(span: str, model: np.ndarray, read_all: bool = False) -> str:
     """Most likely letters behind a written span: Viterbi over the lattice of its readings.
 
     A character reads as itself, as a letter it can stand for, or as nothing if it
     is a mark; a run of three or more reads as one or two. A state is the last three symbols.
+    With ``read_all`` a mark that can stand for a letter does.
     """
     states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
     for run in _RUN.finditer(span):
@@ -131,8 +133,8 @@ def decode(span: str, model: np.ndarray) -> str:
                 options.append((cost * length, c * length))
             else:
                 options += [(cost + REPEATED, c), (cost + REPEATED, c * 2)]
-        if not char.isalnum():
-            options.append((DROPPED, ""))
+        if not char.isalnum() and not (read_all and char in LEET):
+            options.append(((DROPPED_LEET if char in LEET else DROPPED) * length, ""))
         if not options:
             options.append((0.0, char))
         after: dict[tuple[int, int, int], tuple[float, str]] = {}
@@ -151,7 +153,7 @@ def decode(span: str, model: np.ndarray) -> str:
     return max(ends)[1]
 
 
-_ENDS = re.compile(r"^[^\w@$|+*€£(]+|[^\w$@+*€£]+$")
+_ENDS = re.compile(r"^[^\w@$|+*€£(!¡]+|[^\w$@+*€£]+$")
 _PIECES = re.compile(r"[/:?=&#,;]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+*][ .\-_]{1,2}){2,}[\w@$!|+*](?!\w)")
@@ -168,7 +170,13 @@ def restore(token: str, model: np.ndarray) -> list[str]:
     token = _ENDS.sub("", token)
     if not disguised(token):
         return [token] if token.isalpha() else []
-    return [decode(p, model) if disguised(p) else p for p in (_ENDS.sub("", x) for x in _PIECES.split(token)) if p and any(c.isalpha() for c in p)]
+    words: list[str] = []
+    for piece in (_ENDS.sub("", x) for x in _PIECES.split(token)):
+        if disguised(piece):
+            words += [decode(piece, model), decode(piece, model, read_all=True)]
+        elif piece.isalpha():
+            words.append(piece)
+    return list(dict.fromkeys(words))
 
 
 def spaced(text: str) -> list[str]:
