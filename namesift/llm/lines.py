@@ -33,15 +33,17 @@ def _spread(docs: DataFrame, site: str) -> DataFrame:
 def boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """(line) hashes of lines that stand on ``sites`` or more different sites.
 
-    A HyperLogLog sketch of the sites is kept per line hash and merged by the
-    aggregate, so a line in every document stays one small row per task. Lines of
-    fewer occurrences than ``sites`` cannot pass and are dropped. Estimates clear of the
-    threshold decide; within five standard errors of it sites are counted exactly.
-    A null site counts as no site.
+    Lines of fewer occurrences than ``sites`` cannot pass: plain counts set them aside,
+    which leaves few lines to sketch. A HyperLogLog sketch of the sites is kept per
+    line hash and merged by the aggregate, so a line in every document stays one
+    small row per task. Estimates clear of the threshold decide; within five standard
+    errors of it sites are counted exactly. A null site counts as no site.
     """
-    rows = _spread(docs, site)
-    sketches = rows.groupBy("line").agg(F.count("site").alias("n"), F.hll_sketch_agg("site", PRECISION).alias("sketch"))
-    counted = sketches.where(F.col("n") >= sites).select("line", F.hll_sketch_estimate("sketch").alias("estimate"))
+    rows = _spread(docs, site).select("line", "site")
+    often = rows.groupBy("line").agg(F.count("site").alias("n")).where(F.col("n") >= sites).select("line")
+    rows = rows.join(stage(often, "often"), "line", "left_semi")
+    sketches = rows.groupBy("line").agg(F.hll_sketch_agg("site", PRECISION).alias("sketch"))
+    counted = sketches.select("line", F.hll_sketch_estimate("sketch").alias("estimate"))
     counted = stage(counted.where(F.col("estimate") >= sites * (1 - BAND)), "spread")
     near = counted.where(F.col("estimate") <= sites * (1 + BAND)).select("line")
     exact = rows.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("site").alias("n"))
