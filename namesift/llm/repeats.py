@@ -86,7 +86,8 @@ def _chunk_runs(texts: list[bytes], first: int, powers: Powers, length: int) ->
     doc = np.searchsorted(offsets, head, side="right") - 1
     last = end + length - 1
     context = mix((total[last] - total[head]) * down[head] ^ ((last - head).astype(np.uint64) * MIX))
-    return Runs(doc + first, head - offsets[doc], end - head, key[head], context)
+    # Smallest hashes are all low; mixed once more they are spread evenly over the buckets.
+    return Runs(doc + first, head - offsets[doc], end - head, mix(key[head]), context)
 
 
 def runs_of(texts: list[bytes], powers: Powers, length: int = LENGTH) -> Runs:
