@@ -21,7 +21,10 @@ LENGTH = 50
 GRAM = 20
 # Bytes of text that a task works on at a time, and that it concatenates for one pass.
 BLOCK_BYTES = 8 << 20
-CHUNK_BYTES = 1 << 18
+CHUNK_BYTES = 1 << 16
+# Low bytes of a key that are not sent. Keys only bring runs together; two that agree in
+# the 40 bits left share a bucket, where their bytes are told apart.
+KEY_SKIPPED = 3
 _LATE = np.iinfo(np.int64).max
 
 
@@ -102,47 +105,64 @@ def runs_of(texts: list[bytes], powers: Powers, length: int = LENGTH) -> Runs:
     return Runs.join(parts)
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, which compresses when values are near each other."""
-    return np.ascontiguousarray(values.astype("<i8" if values.dtype.kind == "i" else "<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def planes(values: np.ndarray, skip: int = 0) -> bytes:
+    """Bytes of equal weight side by side, which compresses when values are near each other.
+
+    ``skip`` leaves out so many of the lowest bytes.
+    """
+    wide = values.astype("<i8" if values.dtype.kind == "i" else "<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(wide.T[skip:]).tobytes()
 
 
-def unplanes(data: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(f"<{kind}8")
+def unplanes(data: bytes, kind: str, skip: int = 0) -> np.ndarray:
+    held = np.frombuffer(data, np.uint8).reshape(8 - skip, -1)
+    wide = np.zeros((held.shape[1], 8), np.uint8)
+    wide[:, skip:] = held.T
+    return wide.reshape(-1).view(f"<{kind}8")
 
 
 def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of symbols below 511 by prefix doubling, and where its prefix of ``length`` (7 or more) changes."""
+    """Suffix array by prefix doubling, and where in it the prefix of ``length`` symbols changes.
+
+    The first order comes from as many symbols as fit one word, so texts of few
+    different symbols need fewer rounds. Equal codes get equal ranks, so the sorts need
+    not be stable.
+    """
     n = len(text)
-    code = np.zeros(n, np.uint64)
+    kinds = np.flatnonzero(np.bincount(text))
+    symbol = np.zeros(kinds[-1] + 1, np.int64)
+    symbol[kinds] = np.arange(len(kinds))
+    symbol = symbol[text]
+    bits = int(len(kinds) + 1).bit_length()
+    depth = min(63 // bits, length)
     # Beyond the end stands a symbol of its own, so that no two suffixes are equal.
-    padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)))
-    for i in range(7):
-        code = (code << np.uint64(9)) | padded[i : i + n]
-    order = np.argsort(code, kind="stable")
-    rank = np.empty(n, np.int64)
-    new = np.concatenate(([False], code[order][1:] != code[order][:-1]))
-    rank[order] = np.cumsum(new)
-    depth, prefix = 7, None
+    padded = np.concatenate((symbol.astype(np.uint64) + np.uint64(1), np.zeros(depth, np.uint64)))
+    code = np.zeros(n, np.uint64)
+    for i in range(depth):
+        code = (code << np.uint64(bits)) | padded[i : i + n]
+
+    def ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(code)
+        ordered = code[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
+        return order, rank
 
     def paired(rank: np.ndarray, step: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: max(n - step, 0)] = rank[step:] + 1
         return rank * (n + 1) + after
 
+    order, rank = ranked(code)
+    prefix = None
     while True:
         if prefix is None and depth * 2 > length:
             prefix = paired(rank, length - depth)
-        if int(rank[order[-1]]) == n - 1 and prefix is not None:
-            break
-        code = paired(rank, depth)
-        order = np.argsort(code, kind="stable")
-        new = np.concatenate(([False], code[order][1:] != code[order][:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        if prefix is not None and int(rank[order[-1]]) == n - 1:
+            ordered = prefix[order]
+            return order, np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        order, rank = ranked(paired(rank, depth))
         depth *= 2
-    ordered = prefix[order]
-    return order, np.concatenate(([True], ordered[1:] != ordered[:-1]))
 
 
 class RunIndex:
@@ -170,12 +190,14 @@ class RunIndex:
         self.goes = np.empty(len(self.start), np.int64)
         self.goes[by_symbol] = np.concatenate(([0], np.cumsum(size[by_symbol])[:-1]))
         owner = np.repeat(owners, sizes + 1)[order]
-        interval = np.flatnonzero(change)
-        least = np.minimum.reduceat(np.minimum.reduceat(owner, self.start), np.searchsorted(self.start, interval))
-        self.least = least[np.searchsorted(interval, self.start, side="right") - 1]
+        opens = change[self.start]
+        least = np.minimum.reduceat(np.minimum.reduceat(owner, self.start), np.flatnonzero(opens))
+        self.least = least[np.cumsum(opens) - 1]
         rows = np.flatnonzero(text[order] == 0)
         self.end_row = np.empty(len(strings), np.int64)
         self.end_row[np.searchsorted(self.ends, order[rows])] = rows
+        # Which run a row falls in, in place of a search at each step.
+        self.run = np.repeat(np.arange(len(self.start), dtype=np.int32), size)
         self.sizes, self.length = sizes, length
 
     def matches(self, owners: np.ndarray) -> list[np.ndarray]:
@@ -189,18 +211,18 @@ class RunIndex:
         offset = np.cumsum(windows) - windows
         found = np.zeros(windows.sum(), bool)
         alive, rows = np.arange(len(self.sizes)), self.end_row.copy()
+        ahead = self.goes - self.start
         step = 0
         while True:
             on = self.sizes[alive] > step
-            alive, rows = alive[on], rows[on]
+            if not on.all():
+                alive, rows = alive[on], rows[on]
             if not len(alive):
                 return np.split(found, offset[1:])
-            run = np.searchsorted(self.start, rows, side="right") - 1
-            rows = self.goes[run] + rows - self.start[run]
+            rows = rows + ahead[self.run[rows]]
             step += 1
             if step >= self.length:
-                run = np.searchsorted(self.start, rows, side="right") - 1
-                hit = alive[self.least[run] < owners[alive]]
+                hit = alive[self.least[self.run[rows]] < owners[alive]]
                 found[offset[hit] + self.sizes[hit] - step] = True
 
 
@@ -244,20 +266,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
     def keys(table: pa.Table) -> pa.Table:
         texts, ids = _texts(table["text"]), _doc_ids(table["doc_id"])
         runs = runs_of(texts, Powers(), length)
-        order = np.lexsort((ids[runs.doc], runs.context, runs.key))
-        key, context, doc = runs.key[order], runs.context[order], ids[runs.doc[order]]
-        head = np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]))) if len(key) else np.zeros(0, bool)
-        at = np.flatnonzero(head)
-        several = np.maximum.reduceat(doc, at) > doc[at] if len(at) else np.zeros(0, bool)
-        bucket = ((key[at] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-        cuts = np.append(_cut(bucket), len(at))
-        key, context, doc = key[at], context[at], doc[at]
+        order = np.argsort(runs.context)
+        context, doc = runs.context[order], ids[runs.doc[order]]
+        at = _cut(context)
+        least = np.minimum.reduceat(doc, at) if len(at) else doc
+        several = np.maximum.reduceat(doc, at) > least if len(at) else np.zeros(0, bool)
+        context, key = context[at], runs.key[order][at]
+        order = np.argsort(key)
+        key, context, doc, several = key[order], context[order], least[order], several[order]
+        bucket = ((key >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        cuts = np.append(_cut(bucket), len(key))
         parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table(
             {
                 "bucket": pa.array(bucket[cuts[:-1]], pa.int64()),
                 "block": pa.array([table["block"][0].as_py()] * len(parts), pa.int64()),
-                "keys": pa.array([planes(key[p]) for p in parts], pa.binary()),
+                "keys": pa.array([planes(key[p], KEY_SKIPPED) for p in parts], pa.binary()),
                 "contexts": pa.array([planes(context[p]) for p in parts], pa.binary()),
                 "docs": pa.array([planes(doc[p]) for p in parts], pa.binary()),
                 "several": pa.array([several[p].tobytes() for p in parts], pa.binary()),
@@ -268,26 +292,28 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
         """For each block the contexts of its runs that others share: smallest document and whether the text is called for."""
         blobs = [[x.as_py() for x in table[c]] for c in ("keys", "contexts", "docs", "several")]
         of = np.array(table["block"].to_pylist(), np.int64)
-        key = np.concatenate([unplanes(b, "u") for b in blobs[0]])
+        key = np.concatenate([unplanes(b, "u", KEY_SKIPPED) for b in blobs[0]])
         context = np.concatenate([unplanes(b, "u") for b in blobs[1]])
         doc = np.concatenate([unplanes(b, "i") for b in blobs[2]])
         several = np.concatenate([np.frombuffer(b, bool) for b in blobs[3]])
         block = np.repeat(of, [len(b) for b in blobs[3]])
-        order = np.lexsort((block, doc, context, key))
+        order = np.argsort(context)
         key, context, doc, several, block = key[order], context[order], doc[order], several[order], block[order]
-        by_key = _cut(key)
-        same = np.concatenate(([False], (key[1:] == key[:-1]) & (context[1:] == context[:-1])))
-        by_context = np.flatnonzero(~same)
-        group, own = np.cumsum(np.bincount(by_key, minlength=len(key))[: len(key)]) - 1, np.cumsum(~same) - 1
-        contexts_of_key = np.bincount(group[by_context])
-        docs_differ = np.minimum.reduceat(doc, by_key) < np.maximum.reduceat(doc, by_key)
-        ragged = ((contexts_of_key > 1) & (docs_differ | np.bitwise_or.reduceat(several, by_key)))[group]
-        rows_of = np.bincount(own)
-        least = doc[by_context][own]
-        shared = ((rows_of > 1)[own]) | several
+        head = _cut(context)
+        rows_of = np.diff(np.append(head, len(context)))
+        least, most = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
+        again = np.bitwise_or.reduceat(several, head)
+        by_key = np.argsort(key[head])
+        first_of = _cut(key[head][by_key])
+        contexts_of = np.diff(np.append(first_of, len(head)))
+        differ = np.minimum.reduceat(least[by_key], first_of) < np.maximum.reduceat(most[by_key], first_of)
+        differ |= np.bitwise_or.reduceat(again[by_key], first_of)
+        ragged = np.empty(len(head), bool)
+        ragged[by_key] = np.repeat((contexts_of > 1) & differ, contexts_of)
+        least, ragged = np.repeat(least, rows_of), np.repeat(ragged, rows_of)
         first = ragged & (doc == least)
-        keep = np.flatnonzero(shared | first)
-        keep = keep[np.argsort(block[keep], kind="stable")]
+        keep = np.flatnonzero(np.repeat((rows_of > 1) | again, rows_of) | first)
+        keep = keep[np.argsort(block[keep])]
         cuts = np.append(_cut(block[keep]), len(keep))
         parts = [keep[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table(
@@ -363,40 +389,42 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
         partial = np.zeros(len(runs.doc), bool)
         if part:
             partial = ~whole & np.isin(runs.context, np.array(list(part), np.uint64))
-        out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept": [], "digest": []}
-        bounds = np.searchsorted(runs.doc, np.arange(len(whole_texts) + 1))
-        for i, text in enumerate(whole_texts):
-            own = slice(bounds[i], bounds[i + 1])
-            step = np.zeros(len(text) + 1, np.int64)
-            hits = np.flatnonzero(whole[own]) + bounds[i]
-            np.add.at(step, runs.start[hits], 1)
-            np.add.at(step, runs.start[hits] + runs.windows[hits] + length - 1, -1)
-            for j in (np.flatnonzero(partial[own]) + bounds[i]).tolist():
-                at = runs.start[j] + np.flatnonzero(part[int(runs.context[j])])
-                np.add.at(step, at, 1)
-                np.add.at(step, at + length, -1)
-            gone = np.cumsum(step)[:-1] > 0
-            out["n_removed"].append(int(gone.sum()))
-            out["n_spans"].append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
-            out["kept"].append(kept if texts else None)
-            out["digest"].append(hashlib.sha256(kept).hexdigest())
+        sizes = np.array([len(t) for t in whole_texts], np.int64)
+        offset = np.concatenate(([0], np.cumsum(sizes)))
+        start = runs.start + offset[runs.doc]
+        step = np.zeros(offset[-1] + 1, np.int32)
+        np.add.at(step, start[whole], 1)
+        np.add.at(step, start[whole] + runs.windows[whole] + length - 1, -1)
+        if partial.any():
+            windows = runs.windows[partial]
+            flags = np.concatenate([part[c] for c in runs.context[partial].tolist()])
+            at = np.repeat(start[partial] - np.cumsum(windows) + windows, windows) + np.arange(len(flags))
+            np.add.at(step, at[flags], 1)
+            np.add.at(step, at[flags] + length, -1)
+        gone = np.cumsum(step)[:-1] > 0
+        # Runs end within their text, so a removed stretch that begins with a text is one of its own.
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        begins = offset[:-1][sizes > 0]
+        opens[begins] = gone[begins]
+        removed, spans = [np.diff(np.concatenate(([0], np.cumsum(x)))[offset]) for x in (gone, opens)]
+        left = np.frombuffer(b"".join(whole_texts), np.uint8)[~gone].tobytes()
+        ends = np.cumsum(sizes - removed)
+        kept = [left[e - n : e] for e, n in zip(ends.tolist(), (sizes - removed).tolist(), strict=True)]
         return pa.table(
             {
                 "doc_id": docs_["doc_id"].combine_chunks(),
-                "n_bytes": pa.array([len(t) for t in whole_texts], pa.int64()),
-                "n_removed": pa.array(out["n_removed"], pa.int64()),
-                "n_spans": pa.array(out["n_spans"], pa.int64()),
-                "kept": pa.array(out["kept"], pa.binary()),
-                "kept_sha256": pa.array(out["digest"], pa.string()),
+                "n_bytes": pa.array(sizes),
+                "n_removed": pa.array(removed.astype(np.int64)),
+                "n_spans": pa.array(spans.astype(np.int64)),
+                "kept": pa.array(kept if texts else [None] * len(kept), pa.binary()),
+                "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
             }
         )
 
     blob = "bucket long, block long, keys binary, contexts binary, docs binary, several binary"
-    met = stage(
-        rows.groupBy("block").applyInArrow(keys, blob).groupBy("bucket").applyInArrow(meet, "block long, contexts binary, least binary, called binary"),
-        "runs",
-    )
+    keyed = rows.groupBy("block").applyInArrow(keys, blob)
+    met = stage(keyed.groupBy("bucket").applyInArrow(meet, "block long, contexts binary, least binary, called binary"), "runs")
     sent = rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(send, "bucket long, block long, context long, doc long, text binary")
     masks = stage(sent.groupBy("bucket").applyInArrow(index, "block long, contexts binary, sizes binary, bits binary"), "masks")
     info = met.select("block", "contexts", "least", "called", F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("bits")).unionByName(
