@@ -226,6 +226,17 @@ class RunIndex:
                 found[offset[hit] + self.sizes[hit] - step] = True
 
 
+def _stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage and let go of its shuffles, which hold whole texts and are not read again."""
+    conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup, "false")
+    conf.set(cleanup, "true")
+    try:
+        return stage(df, name)
+    finally:
+        conf.set(cleanup, before)
+
+
 def _texts(column: pa.ChunkedArray) -> list[bytes]:
     return [t or b"" for t in column.to_pylist()]
 
@@ -424,9 +435,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
 
     blob = "bucket long, block long, keys binary, contexts binary, docs binary, several binary"
     keyed = rows.groupBy("block").applyInArrow(keys, blob)
-    met = stage(keyed.groupBy("bucket").applyInArrow(meet, "block long, contexts binary, least binary, called binary"), "runs")
+    met = _stage(keyed.groupBy("bucket").applyInArrow(meet, "block long, contexts binary, least binary, called binary"), "runs")
     sent = rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(send, "bucket long, block long, context long, doc long, text binary")
-    masks = stage(sent.groupBy("bucket").applyInArrow(index, "block long, contexts binary, sizes binary, bits binary"), "masks")
+    masks = _stage(sent.groupBy("bucket").applyInArrow(index, "block long, contexts binary, sizes binary, bits binary"), "masks")
     info = met.select("block", "contexts", "least", "called", F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("bits")).unionByName(
         masks, allowMissingColumns=True
     )
