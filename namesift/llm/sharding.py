@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namesift.llm.common import documents, packed
-from namesift.operators.sizing import broadcast_if_small, measure
 from namesift.session import stage
 
 MAX_BYTES = 1 << 20
 # Bits of the hash, and how many the directory takes beyond what even shards need.
 BITS = 60
-SPARE = 5
+SPARE = 3
+# A directory of up to so many cells is broadcast, a larger one joined by a shuffle.
+SENT_CELLS = 50_000
 
 
 def _prefix(depth: int) -> Column:
@@ -55,11 +56,11 @@ def shards(docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     while True:
         cells = stage(left.groupBy(_prefix(depth).alias("_cell")).agg(F.sum("bytes").alias("bytes")), "cells")
         directory = stage(_directory(cells, depth, max_bytes), "directory")
-        size = measure(directory, F.col("_cell").cast("string"))
         named = directory.select("_cell", F.col("depth").alias("_depth"), F.col("bytes").alias("_shard_bytes"))
         bits = F.expr(f"if(_depth = 0, '-', lpad(conv(shiftright(_hash, {BITS} - _depth), 10, 2), _depth, '0'))")
         held = rest.withColumn("_cell", _prefix(depth))
-        parts.append(held.join(broadcast_if_small(named, size), "_cell").withColumn("_shard", bits))
+        named = F.broadcast(named) if directory.count() <= SENT_CELLS else named
+        parts.append(held.join(named, "_cell").withColumn("_shard", bits))
         large = cells.where(F.col("bytes") > max_bytes).select("_cell")
         if large.isEmpty():
             break

@@ -258,7 +258,9 @@ def test_mix_interleaves_by_weight_and_keeps_all(spark):
         assert all(abs(counts[x] - t * w / 4) < 1 for x, w in (("a", 2), ("b", 1), (None, 1)))
 
 
-def test_shards_fit_and_only_large_ones_split(spark):
+@pytest.mark.parametrize("sent", [0, 50_000])
+def test_shards_fit_and_only_large_ones_split(spark, monkeypatch, sent):
+    monkeypatch.setattr(sharding, "SENT_CELLS", sent)
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', 100 + int(id % 50))").alias("text"))
     hot = spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.expr("repeat('y', 400)").alias("text"))
     rows = sharding.shards(docs.unionByName(hot), 20_000).select("doc.text", "shard", "depth", "shard_bytes").collect()
