@@ -12,7 +12,7 @@ from namesift.functions import fixed
 TOKEN = r"[\p{L}\p{N}]+"
 SENTENCE_MARK = "\u0001"
 HELD_MARK = "\u0002"
-HELD_POINT = "(^|[^0-9A-Za-z])({}|[A-Z])[.]"
+HELD_POINT = "(^|[^0-9A-Za-z])((?:(?:{}|[A-Z])[.])+)"
 ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Ms", "Prof", "Sr", "Jr", "St", "vs", "No", "Fig", "e[.]g", "i[.]e")
 
 
@@ -54,10 +54,8 @@ def sentences(text: Column, abbreviations: Sequence[str] = ABBREVIATIONS) -> Col
     """Split after ``.``, ``!`` or ``?`` followed by white space.
 
     The point of a listed abbreviation or of a single capital letter ends nothing.
-    One is taken in with the character before it, so neighbours need two passes.
     """
-    held = F.regexp_replace(text, HELD_POINT.format("|".join(abbreviations)), "$1$2." + HELD_MARK)
-    held = F.regexp_replace(held, HELD_POINT.format("|".join(abbreviations)), "$1$2." + HELD_MARK)
+    held = F.regexp_replace(text, HELD_POINT.format("|".join(abbreviations)), "$1$2" + HELD_MARK)
     marked = F.regexp_replace(held, r"([.!?])[ \n\t\r]+", "$1" + SENTENCE_MARK)
     marked = F.translate(marked, HELD_MARK, "")
     return F.filter(F.split(marked, SENTENCE_MARK), lambda s: s != "")
