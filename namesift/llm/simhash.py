@@ -263,9 +263,9 @@ def near_groups(
     Every proposed pair is verified on its whole sets of ``shingle``-word shingles, so
     a group never holds a text that is not ``similarity`` like another one of it.
     Exact copies are folded before anything is compared. In a bucket of few texts all
-    pairs are proposed; in a larger one each text is proposed with its smallest and
-    its largest member, which keeps the work linear, and a group is joined through
-    those and through its other draws.
+    pairs are proposed. In a larger one each text is first proposed with pivots, while
+    that halves the pairs that no group joins yet; all pairs that are left then are
+    proposed, so a bucket loses none, whatever its size.
 
     ``row`` is the content key of the row (doc_id and text), ``keeper`` that of the row
     that stays: the one with the smallest doc_id. Blank texts are copies of each other.
@@ -308,9 +308,9 @@ def near_groups(
     pairs = small.select(
         F.explode(F.expr("flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> named_struct('u', a, 'v', b))))")).alias("e")
     ).select("e.u", "e.v")
-    large = held.where(F.col("n") > PAIRED // 2).select("id", F.explode(F.array("low", "high")).alias("other"))
-    pivots = large.where("id <> other").select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))
-    proposed = stage(pairs.unionByName(pivots).distinct(), "proposed")
+    large = held.where(F.col("n") > PAIRED // 2)
+    either = large.select("id", F.explode(F.array("low", "high")).alias("other"))
+    pivots = either.where("id <> other").select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -329,12 +329,39 @@ def near_groups(
                 keep.append(shared >= similarity * (len(left) + len(right) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = proposed.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    # Copies of one row share its key, and one of them is enough to compare.
-    needed = stage(keyed.select(F.col("row").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "compared")
-    left, right = needed.withColumnsRenamed({"id": "u", "text": "a"}), needed.withColumnsRenamed({"id": "v", "text": "b"})
-    checked = proposed.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
-    groups = components(checked)
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The proposed pairs that are alike."""
+        proposed = stage(pairs.distinct(), "proposed")
+        ids = proposed.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        # Copies of one row share its key, and one of them is enough to compare.
+        needed = stage(keyed.select(F.col("row").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "compared")
+        left, right = needed.withColumnsRenamed({"id": "u", "text": "a"}), needed.withColumnsRenamed({"id": "v", "text": "b"})
+        return stage(proposed.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "alike")
+
+    alike = checked(pairs.unionByName(pivots))
+    groups = components(alike)
+    before = None
+    while True:
+        # Members of one group need no further link; all others of a large bucket must still meet.
+        parted = large.join(groups, F.col("id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("component", "id").alias("of"))
+        counts = parted.groupBy("band", "key", "of").agg(F.count("*").alias("c"))
+        totals = counts.groupBy("band", "key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.min_by("of", F.struct(-F.col("c"), "of")).alias("main"))
+        parted = stage(parted.join(totals.where("n * n > within"), ["band", "key"]), "parted")
+        members, left = parted.agg(F.count("*"), F.sum((F.col("n") - F.col("within") / F.col("n")) / 2)).first()
+        if not members:
+            break
+        if left <= PAIRED * members or (before is not None and 2 * left > before):
+            # What pivots do not bring together is compared pair by pair; the skew join splits a hot key.
+            u, v = parted.select("band", "key", F.col("id").alias("u"), F.col("of").alias("of_u")), parted.select("band", "key", F.col("id").alias("v"), F.col("of").alias("of_v"))
+            alike = alike.unionByName(checked(u.join(v, ["band", "key"]).where("u < v and of_u <> of_v").select("u", "v")))
+            groups = components(alike)
+            break
+        before = left
+        # The member of the largest group that comes first in another order each round.
+        pivot = parted.groupBy("band", "key").agg(F.min_by("id", F.struct(F.col("of") != F.col("main"), F.xxhash64("id", F.lit(int(left))))).alias("other"))
+        meet = parted.join(pivot, ["band", "key"]).where("id <> other")
+        alike = alike.unionByName(checked(meet.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))))
+        groups = components(alike)
     classes = stage(
         rows.join(texts.select("digest", "id"), "digest").join(groups, F.col("id") == F.col("node"), "left")
         .select("row", "doc_id", F.coalesce("component", "id").alias("class")),

@@ -302,3 +302,38 @@ def test_html_of_other_layouts(spark):
     assert found[3] == "Title of page 3\nFirst text, number 3. It says & means something.\nMore of it, and an end."
     assert found[100] == "Head\nBody text, that is long enough. And goes on <here>."
     assert found[101] == found[102] == found[None] == ""
+
+
+def near_classes(spark, rows, similarity=0.8):
+    """Classes of near copies by ``near_groups`` and by comparing all pairs."""
+    grams = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
+    alike = [(a, b) for a, b in combinations(grams, 2) if len(grams[a] & grams[b]) >= similarity * len(grams[a] | grams[b])]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in alike:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {}
+    for i, _ in rows:
+        want.setdefault(root(i), set()).add(i)
+    found = {}
+    for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r["keeper"], set()).add(r["doc_id"])
+    return sorted(map(sorted, found.values())), sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_near_pairs_within_a_large_template_are_found(spark):
+    rng = random.Random(11)
+    template = " ".join(f"t{i}" for i in range(100))
+    rows = []
+    for k in range(150):
+        own = [f"o{k}x{i}" for i in range(14)]
+        rows.append((2 * k, f"{template} {' '.join(own)}"))
+        own[-rng.randint(1, 4) :] = ["other", f"end{k}"]
+        rows.append((2 * k + 1, f"{template} {' '.join(own)}"))
+    found, want = near_classes(spark, rows)
+    assert len(want) > 100 and found == want
