@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +11,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm.common import MIX, Powers, components, documents, mix, packed, row_key, shingle_hashes, without_rows, word_hashes
+from namesift.llm.common import Powers, components, documents, packed, row_key, shingle_hashes, without_rows, word_hashes
 from namesift.session import stage
 
 BITS = 64
 # Buckets up to this size are compared pair by pair, which is linear in the rows;
 # larger ones meet in one-bit variants, which is linear too and finds the same links.
 PAIRED = 32
+# Texts whose shingles tell common ones from rare ones, and how many common ones are kept.
+SAMPLE_ROWS = 20_000
+COMMON = 200_000
+# Floating-point room, so that a bound never cuts a pair that is exactly similar enough.
+SLACK = 1e-6
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -232,36 +236,60 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _parts(text: bytes | None, powers: Powers, shingle: int, span: int, draws: int) -> tuple[bytes, int, int, list[int]]:
-    """Digest of the words, number of shingles, whole SimHash and sampled part SimHashes.
+def _grams(text: bytes | None, powers: Powers, shingle: int) -> tuple[bytes, np.ndarray]:
+    """Digest of the words and the distinct shingles in order."""
+    data = _LOWER[np.frombuffer(text or b"", np.uint8)]
+    words = word_hashes(data, ~_SPACE[data], powers)[0]
+    return xxhash.xxh3_128_digest(words.tobytes()), np.unique(shingle_hashes(words, shingle))
+
 
-    Parts end where a shingle's hash falls on a multiple of ``span``, so an edit
-    changes only the parts around it. Of all part fingerprints, ``draws`` are taken,
-    the smallest under as many different orders: similar texts take the same ones.
+def _common(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, in order, and how many do.
+
+    They only say which shingles are looked up last. Any order finds the same
+    pairs, so neither the sample nor the bound on its size loses one.
     """
-    data = _LOWER[np.frombuffer(text or b"", np.uint8)]
-    words, start, end = word_hashes(data, ~_SPACE[data], powers)
-    grams = shingle_hashes(words, shingle)
-    digest = xxhash.xxh3_128_digest(words.tobytes())
-    if not len(grams):
-        return digest, 0, 0, [0]
-    cuts = np.concatenate(([0], np.flatnonzero(grams % np.uint64(span) == 0) + 1, [len(grams)]))
-    prints = np.unique(np.array([fold(grams[a:b]) for a, b in pairwise(np.unique(cuts))], np.uint64))
-    orders = MIX * np.arange(1, draws + 1, dtype=np.uint64)
-    drawn = {int(prints[mix(prints ^ order).argmin()]) for order in orders}
-    return digest, len(grams), fold(grams), sorted(drawn)
-
-
-def near_groups(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, span: int = 8, draws: int = 12, radius: int = 2
-) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for text in batch.column(0):
+                grams = _grams(text.as_py(), powers, shingle)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+
+    every = max(1, keyed.count() // SAMPLE_ROWS)
+    sample = keyed.where(F.pmod("row", F.lit(every)) == 0).select("text").dropDuplicates()
+    counts = sample.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+    gram = found["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], found["n"].to_numpy()[order]
+
+
+def prefix(grams: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a text, of which it shares one with every text ``similarity`` like it.
+
+    A similar text holds at least ``similarity`` of the shingles, so it can lack only
+    the rest; one more than that is taken, in an order that all texts use.
+    """
+    known, count = common
+    weight = np.zeros(len(grams), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        weight = np.where(known[at] == grams, count[at], 0)
+    keep = len(grams) - int(np.ceil(similarity * len(grams) - SLACK)) + 1
+    return grams[np.lexsort((grams, weight))[:keep]] if len(grams) else grams
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, doc_id, keeper) for rows that share a group with another: near copies by Jaccard similarity.
 
-    Whole SimHashes within ``radius`` bits propose pairs by pigeonhole search. A text
-    edited all over moves further than that, so SimHashes of content-defined parts
-    propose pairs too: texts that draw the same part and are of like length meet.
-    Every proposed pair is verified on its whole sets of ``shingle``-word shingles, so
-    a group never holds a text that is not ``similarity`` like another one of it.
+    Texts meet by their prefix: the shingles of ``shingle`` words that come first in
+    one order of all shingles, rare ones before common ones. Two texts that are
+    ``similarity`` alike always share one, and at the first they share, enough
+    shingles must follow in both; pairs without that are not proposed. Every
+    proposed pair is verified on its whole sets of shingles, so groups are those of
+    all pairs compared, short texts and long ones.
     Exact copies are folded before anything is compared. In a bucket of few texts all
     pairs are proposed. In a larger one each text is first proposed with pivots, while
     that halves the pairs that no group joins yet; all pairs that are left then are
@@ -271,60 +299,63 @@ def near_groups(
     that stays: the one with the smallest doc_id. Blank texts are copies of each other.
     """
 
+    keyed = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    common = _common(keyed, shingle)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            found = [_parts(t.as_py(), powers, shingle, span, draws) for t in batch.column(2)]
-            digest, size, whole, drawn = zip(*found, strict=True) if found else ((), (), (), ())
+            found = [_grams(t.as_py(), powers, shingle) for t in batch.column(2)]
+            keys = [prefix(grams, similarity, common).view(np.int64) for _, grams in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array(digest, pa.binary()),
-                    pa.array(size, pa.int64()),
-                    pa.array(np.array(whole, np.uint64).view(np.int64)),
-                    pa.array([np.array(d, np.uint64).view(np.int64) for d in drawn], pa.list_(pa.int64())),
+                    pa.array([digest for digest, _ in found], pa.binary()),
+                    pa.array([len(grams) for _, grams in found], pa.int32()),
+                    pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["row", "doc_id", "digest", "size", "fp", "drawn"],
+                ["row", "doc_id", "digest", "size", "keys"],
             )
 
-    keyed = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = stage(keyed.mapInArrow(run, "row long, doc_id long, digest binary, size long, fp long, drawn array<long>"), "parts")
+    made = stage(keyed.mapInArrow(run, "row long, doc_id long, digest binary, size int, keys array<long>"), "prefixes")
+    rows = made.select("row", "doc_id", "digest")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    texts = stage(
-        rows.groupBy("digest").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("drawn").alias("drawn"))
-        .select("digest", F.col("least.row").alias("id"), "size", "fp", "drawn"),
-        "texts",
-    )
-    whole = components(link(texts.where("size > 0"), radius)).select(F.col("node").alias("fp"), F.col("component").alias("key"))
-    by_whole = texts.join(whole, "fp").select("id", F.lit(-1).alias("band"), "key")
-    # Sizes of similar texts differ by at most 1 / similarity, so they share a band or the next.
-    band = F.floor(F.log("size") / F.log(F.lit(1 / similarity))).cast("int")
-    by_part = texts.where("size > 0").select("id", F.explode(F.array(band, band + 1)).alias("band"), "drawn").select("id", "band", F.explode("drawn").alias("key"))
-    buckets = by_whole.unionByName(by_part)
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1")
-    held = stage(buckets.join(sizes, ["band", "key"]), "buckets")
-    small = held.where(F.col("n") <= PAIRED // 2).groupBy("band", "key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    texts = stage(rows.groupBy("digest").agg(F.min(order).alias("least")).select("digest", F.col("least.row").alias("id")), "texts")
+    first = made.join(texts.select("id"), F.col("row") == F.col("id"), "left_semi").dropDuplicates(["row"])
+    first = stage(first.select("row", "size", "keys"), "firsts")
+    buckets = first.select(F.col("row").alias("id"), "size", F.posexplode("keys").alias("place", "key"))
+    # Members of a bucket that may be alike if this is the first key they share.
+    left_over = f"least({{0}}.size - {{0}}.place, {{1}}.size - {{1}}.place) * {1 + similarity} >= {similarity} * ({{0}}.size + {{1}}.size) - {SLACK}"
+    entry = F.struct(F.col("id").alias("id"), "size", "place")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    held = stage(buckets.join(sizes, "key").select("key", entry.alias("e"), "n"), "buckets")
+    small = held.where(F.col("n") <= PAIRED // 2).groupBy("key").agg(F.array_sort(F.collect_list("e")).alias("es"))
     pairs = small.select(
-        F.explode(F.expr("flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> named_struct('u', a, 'v', b))))")).alias("e")
+        F.explode(
+            F.expr(
+                "flatten(transform(es, (a, i) -> transform(filter(slice(es, i + 2, size(es)),"
+                f" b -> {left_over.format('a', 'b')}), b -> named_struct('u', a.id, 'v', b.id))))"
+            )
+        ).alias("e")
     ).select("e.u", "e.v")
-    large = held.where(F.col("n") > PAIRED // 2)
-    either = large.select("id", F.explode(F.array("low", "high")).alias("other"))
-    pivots = either.where("id <> other").select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))
+    large = held.where(F.col("n") > PAIRED // 2).select("key", "e")
+    # The text with the most shingles left after the key meets all others of the bucket first.
+    pivot = large.groupBy("key").agg(F.max_by("e", F.struct(-F.col("e.place") / F.col("e.size"), "e.id")).alias("p"))
+
+    def met(pivot: DataFrame, members: DataFrame) -> DataFrame:
+        meet = members.join(pivot, "key").where("e.id <> p.id").where(left_over.format("e", "p"))
+        return meet.select(F.least("e.id", "p.id").alias("u"), F.greatest("e.id", "p.id").alias("v"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
 
-        def grams(text: bytes | None) -> np.ndarray:
-            data = _LOWER[np.frombuffer(text or b"", np.uint8)]
-            return np.unique(shingle_hashes(word_hashes(data, ~_SPACE[data], powers)[0], shingle))
-
         for batch in batches:
             keep, last, left = [], None, None
             for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if u != last:
-                    last, left = u, grams(a.as_py())
-                right = grams(b.as_py())
+                    last, left = u, _grams(a.as_py(), powers, shingle)[1]
+                right = _grams(b.as_py(), powers, shingle)[1]
                 shared = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(shared >= similarity * (len(left) + len(right) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -338,29 +369,29 @@ def near_groups(
         left, right = needed.withColumnsRenamed({"id": "u", "text": "a"}), needed.withColumnsRenamed({"id": "v", "text": "b"})
         return stage(proposed.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "alike")
 
-    alike = checked(pairs.unionByName(pivots))
+    alike = checked(pairs.unionByName(met(pivot, large)))
     groups = components(alike)
     before = None
     while True:
         # Members of one group need no further link; all others of a large bucket must still meet.
-        parted = large.join(groups, F.col("id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("component", "id").alias("of"))
-        counts = parted.groupBy("band", "key", "of").agg(F.count("*").alias("c"))
-        totals = counts.groupBy("band", "key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.min_by("of", F.struct(-F.col("c"), "of")).alias("main"))
-        parted = stage(parted.join(totals.where("n * n > within"), ["band", "key"]), "parted")
+        parted = large.join(groups, F.col("e.id") == F.col("node"), "left").select("key", "e", F.coalesce("component", "e.id").alias("of"))
+        counts = parted.groupBy("key", "of").agg(F.count("*").alias("c"))
+        totals = counts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), F.min_by("of", F.struct(-F.col("c"), "of")).alias("main"))
+        parted = stage(parted.join(totals.where("n * n > within"), "key"), "parted")
         members, left = parted.agg(F.count("*"), F.sum((F.col("n") - F.col("within") / F.col("n")) / 2)).first()
         if not members:
             break
         if left <= PAIRED * members or (before is not None and 2 * left > before):
             # What pivots do not bring together is compared pair by pair; the skew join splits a hot key.
-            u, v = parted.select("band", "key", F.col("id").alias("u"), F.col("of").alias("of_u")), parted.select("band", "key", F.col("id").alias("v"), F.col("of").alias("of_v"))
-            alike = alike.unionByName(checked(u.join(v, ["band", "key"]).where("u < v and of_u <> of_v").select("u", "v")))
+            a, b = parted.select("key", F.col("e").alias("a"), F.col("of").alias("of_a")), parted.select("key", F.col("e").alias("b"), F.col("of").alias("of_b"))
+            rest = a.join(b, "key").where("a.id < b.id and of_a <> of_b").where(left_over.format("a", "b"))
+            alike = alike.unionByName(checked(rest.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))))
             groups = components(alike)
             break
         before = left
-        # The member of the largest group that comes first in another order each round.
-        pivot = parted.groupBy("band", "key").agg(F.min_by("id", F.struct(F.col("of") != F.col("main"), F.xxhash64("id", F.lit(int(left))))).alias("other"))
-        meet = parted.join(pivot, ["band", "key"]).where("id <> other")
-        alike = alike.unionByName(checked(meet.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))))
+        # A member of the largest group, another one each round.
+        pivot = parted.groupBy("key").agg(F.min_by("e", F.struct(F.col("of") != F.col("main"), F.xxhash64("e.id", F.lit(int(left))))).alias("p"))
+        alike = alike.unionByName(checked(met(pivot, parted)))
         groups = components(alike)
     classes = stage(
         rows.join(texts.select("digest", "id"), "digest").join(groups, F.col("id") == F.col("node"), "left")

@@ -337,3 +337,17 @@ def test_near_pairs_within_a_large_template_are_found(spark):
         rows.append((2 * k + 1, f"{template} {' '.join(own)}"))
     found, want = near_classes(spark, rows)
     assert len(want) > 100 and found == want
+
+
+def test_near_pairs_of_every_length_are_found(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(240):
+        words = [f"v{rng.randrange(5000)}" for _ in range(10 + k % 60)]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join([*words, "appended"] if k % 2 else words[1:])))
+    # A text that says the same over and over has few distinct shingles.
+    rows += [(1000, " ".join("abcdefghij" * 1)), (1001, " ".join("abcdefghij" * 6))]
+    rows += [(1002, " ".join("klmnopqrst" * 2)), (1003, " ".join("klmnopqrst" * 9) + " end")]
+    found, want = near_classes(spark, rows)
+    assert [1002, 1003] in want and len(want) > 200 and found == want
