@@ -256,17 +256,21 @@ class Field:
 def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> Field:
     """A field learnt from at most ``sample`` pages whose own markup labels their blocks.
 
-    Pages with no main element, or nothing else, label nothing and are passed over.
+    Pages with no main element, or nothing else, label nothing and are passed over
+    inside the scan, so that they take no place among the ``sample``.
     """
+
+    def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([0 < sum(map(marked, found)) < len(found) for found in (blocks(t.as_py()) for t in batch.column(1))], pa.bool_()))
+
     ids = pages.where("html is not null").select(F.xxhash64("page_id", "html").alias("h"), "html")
-    chosen = ids.orderBy("h").limit(sample)
+    chosen = ids.mapInArrow(usable, "h long, html string").orderBy("h").limit(sample)
     rng = random.Random(0)
     labelled = []
     for _, page in chosen.toPandas().itertuples(index=False):
-        found = blocks(page)
-        if 0 < sum(map(marked, found)) < len(found):
-            for rows, labels in variants(found, rng):
-                labelled.append(([features(b, i, len(rows)) for i, b in enumerate(rows)], [int(y) for y in labels]))
+        for rows, labels in variants(blocks(page), rng):
+            labelled.append(([features(b, i, len(rows)) for i, b in enumerate(rows)], [int(y) for y in labels]))
     field = Field()
     field.train(labelled)
     return field

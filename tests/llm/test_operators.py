@@ -351,3 +351,14 @@ def test_near_pairs_of_every_length_are_found(spark):
     rows += [(1002, " ".join("klmnopqrst" * 2)), (1003, " ".join("klmnopqrst" * 9) + " end")]
     found, want = near_classes(spark, rows)
     assert [1002, 1003] in want and len(want) > 200 and found == want
+
+
+def test_rare_pages_that_label_themselves_train_the_field(spark):
+    plain = "<html><body><div><p>Some text of a page without a main element.</p></div></body></html>"
+    told = "<html><body><nav><a href='/'>Home</a></nav><article><p>The one long text that says itself what it is, twice over.</p></article></body></html>"
+    rows = [(i, "u", plain) for i in range(40)] + [(99, "u", told)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    least = pages.orderBy(F.xxhash64("page_id", "html")).first()
+    assert least["page_id"] != 99
+    found = {r["page_id"]: r["text"] for r in html.extracted(pages, sample=1).collect()}
+    assert "The one long text" in found[99]
