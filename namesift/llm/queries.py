@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from namesift.llm import collocations, decontamination, html, licenses, lines, mixing, quality, repeats, runs, sharding, simhash, toxicity
+from namesift.llm import collocations, decontamination, html, licenses, line_quality, lines, mixing, quality, repeats, runs, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_line_quality": line_quality.op11_line_quality,
     "op12_collocations": collocations.op12_collocations,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }

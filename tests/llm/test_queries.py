@@ -26,7 +26,7 @@ def lower(text):
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in entry.queries()
 
 
