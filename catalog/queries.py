@@ -13,7 +13,7 @@ from catalog import vocabulary as V
 from namesift.functions import fixed, prompts
 from namesift.functions import text as X
 from namesift.functions.fixed import COUNT_CATEGORIES
-from namesift.operators import evaluation, ids, inference, linking, matching, mentions, retrieval, routing, votes
+from namesift.operators import clusters, evaluation, fuzzy, ids, inference, linking, matching, mentions, retrieval, routing, scoring, votes
 from namesift.plans import record_to_record, row_to_question, text_to_entity, title_guess
 from namesift.session import spread, stage, stage_path, tune
 from namesift.sources import read_table, write_table
@@ -632,6 +632,79 @@ def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def compared_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier and customer records whose numbers overlap, with how far number, balance and last digit agree."""
+    suppliers, customers = number_tables(spark, sf_dir)
+    found = linking.pair_records(
+        number_pairs(spark, sf_dir), suppliers, customers, "s_number", "c_number", ["nationkey"], "s_suppkey", "c_custkey"
+    )
+    held = lambda c: F.when(F.col(c) >= 0, F.floor(c))
+    left = table(spark, sf_dir, "supplier").select("s_suppkey", held("s_acctbal").alias("s_held")).join(suppliers.drop("nationkey"), "s_suppkey")
+    right = table(spark, sf_dir, "customer").select("c_custkey", held("c_acctbal").alias("c_held")).join(customers.drop("nationkey"), "c_custkey")
+    pairs = found.select("s_suppkey", "c_custkey").join(left, "s_suppkey").join(right, "c_custkey")
+    s, c = F.col("s_number"), F.col("c_number")
+    apart = F.abs(F.col("s_held") - F.col("c_held"))
+    compared = scoring.compare(
+        pairs,
+        {
+            "number": scoring.agreement(s, c, F.startswith(c, s) | F.startswith(s, c), s == c),
+            "balance": scoring.agreement(F.col("s_held"), F.col("c_held"), apart < 2000, apart < 200),
+            "digit": scoring.agreement(F.col("s_held"), F.col("c_held"), F.col("s_held") % 10 == F.col("c_held") % 10),
+        },
+    )
+    return stage(compared.select("s_suppkey", "c_custkey", *V.COMPARED), "compared")
+
+
+@query
+def learn_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = compared_accounts(spark, sf_dir)
+    learnt = scoring.fit(compared, V.COMPARED, V.LEARNING_ROUNDS)
+    rows = [(name, k, learnt.m[name][k], learnt.u[name][k], learnt.matches) for name, n in V.COMPARED.items() for k in range(n)]
+    weights = spark.createDataFrame(pa.Table.from_pylist([dict(zip(("comparison", "level", "m", "u", "matches"), r)) for r in rows]))
+    seen = F.explode(F.array(*[F.struct(F.lit(c).alias("comparison"), F.col(c).cast("bigint").alias("level")) for c in V.COMPARED])).alias("x")
+    n = compared.select(seen).groupBy("x.comparison", "x.level").agg(F.count(F.lit(1)).alias("n_pairs"))
+    digits = [F.round(c, 6).alias(c) for c in ("m", "u", "matches")]
+    return weights.join(n, ["comparison", "level"], "left").select("comparison", "level", *digits, F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"))
+
+
+@query
+def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = compared_accounts(spark, sf_dir)
+    scored = scoring.score(compared, scoring.fit(compared, V.COMPARED, V.LEARNING_ROUNDS))
+    decided = scoring.decide(scored, 0.5, 0.05)
+    return decided.select("s_suppkey", "c_custkey", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "decision")
+
+
+def title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = X.normalize_label(X.page_title(F.col("html")))
+    words = table(spark, sf_dir, "pages").select(F.explode(F.split(title, " ")).alias("word"))
+    return words.filter(F.length("word") >= 4).distinct()
+
+
+def item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(X.normalize_label(F.col("text")), " ")).alias("word"))
+    return words.filter(F.length("word") >= 4).distinct()
+
+
+@query
+def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = title_words(spark, sf_dir), item_words(spark, sf_dir)
+    return fuzzy.similar_values(left, right, "word", "word", k=2)
+
+
+@query
+def fuzzy_pairs_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = title_words(spark, sf_dir), item_words(spark, sf_dir)
+    return fuzzy.similar_values(left, right, "word", "word", k=1, hot=3)
+
+
+@query
+def entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fuzzy.similar_within(title_words(spark, sf_dir), "word", k=1)
+    pairs = pairs.withColumn("weight", F.greatest(F.length("left_value"), F.length("right_value")))
+    return clusters.entity_clusters(pairs, "left_value", "right_value", "weight", V.LINKED_LETTERS)
+
+
 @query
 def retrieve_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_pages(spark, sf_dir)

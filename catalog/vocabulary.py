@@ -78,3 +78,10 @@ NUMBER_PATTERN = "[0-9]+"
 NAME_PATTERN = "[A-Z][a-z]+ [A-Z][a-z]+"
 
 SIZE_CATEGORIES = {"small ring": "jewel", "large ring": "jewel", "red plate": "dish", "blue plate": "dish"}
+
+# levels of agreement per comparison of account records, and rounds of learning their weights
+COMPARED = {"number": 3, "balance": 3, "digit": 2}
+LEARNING_ROUNDS = 3
+
+# letters a word needs before a spelling one edit away links it
+LINKED_LETTERS = 6
