@@ -13,7 +13,8 @@ from catalog import vocabulary as V
 from namesift.functions import fixed, prompts
 from namesift.functions import text as X
 from namesift.functions.fixed import COUNT_CATEGORIES
-from namesift.operators import clusters, evaluation, fuzzy, ids, inference, linking, matching, mentions, retrieval, routing, scoring, votes
+from namesift.operators import boundaries, categories, clusters, evaluation, fuzzy, ids, inference, linking, markup, matching, mentions
+from namesift.operators import retrieval, routing, scoring, tagger, votes
 from namesift.plans import record_to_record, row_to_question, text_to_entity, title_guess
 from namesift.session import spread, stage, stage_path, tune
 from namesift.sources import read_table, write_table
@@ -300,6 +301,31 @@ def page_list_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", links.alias("links"))
 
 
+def restyled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with links of two classes, written in other ways, beside what only looks like a link."""
+    shown = F.regexp_replace("html", '<a href="/([a-mA-M][^"]*)">', "<A title='see > $1' CLASS='wide result' href=\"/$1\">")
+    plain = F.regexp_replace(shown, '<a href="/([^"]*)">', '<a class=other href="/$1">')
+    trap = '<script>x = \'<a class="result" href="/trap">\';</script><!-- <a class="result" href="/trap">t</a> -->'
+    html = F.regexp_replace(F.regexp_replace(plain, "<body>", f"<body>{trap}"), "<title>", "<TITLE lang='x'\n>")
+    return table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+
+
+@query
+def links_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.links_by_class(restyled_pages(spark, sf_dir), "result", RESULTS)
+
+
+@query
+def element_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").filter("page_id is not null")
+    return markup.select_elements(pages, markup.Selector("div", frozenset(["ad"])), 1, "class").select("id", "class", "text")
+
+
+@query
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.page_titles(restyled_pages(spark, sf_dir))
+
+
 # ---- mentions ----------------------------------------------------------------------
 
 
@@ -308,6 +334,16 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.split_sentences(documents(spark, sf_dir))
 
 
+@query
+def learned_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries.abbreviations(stage(boundaries.word_points(documents(spark, sf_dir)), "points"))
+
+
+@query
+def learned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries.learned_sentences(documents(spark, sf_dir))
+
+
 @query
 def extract_mentions_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_mentions(spark, sf_dir)
@@ -344,6 +380,29 @@ class NumberTagger:
         return [[(m, "CARDINAL", 1 / len(m)) for m in re.findall(V.NUMBER_PATTERN, text)] for text in texts]
 
 
+def shown_entities(spark: SparkSession) -> DataFrame:
+    """Phrases with one type each, so that a word has one right label."""
+    entries = pa.table({"phrase": list(V.SHOWN), "entity_detected": list(V.SHOWN.values())})
+    return spark.createDataFrame(entries)
+
+
+def taught_tagger(spark: SparkSession, sf_dir: str) -> tagger.LearnedTagger:
+    docs = documents(spark, sf_dir)
+    return tagger.learn(docs.filter(categories.fold(F.col("id")) >= V.HELD_OUT), shown_entities(spark))
+
+
+@query
+def learned_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mentions.extract_with(documents(spark, sf_dir), taught_tagger(spark, sf_dir))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("avg_score"))
+
+
+@query
+def learned_mention_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = documents(spark, sf_dir).filter(categories.fold(F.col("id")) < V.HELD_OUT)
+    return tagger.span_accuracy(tagger.labelled_texts(held, shown_entities(spark)), taught_tagger(spark, sf_dir))
+
+
 @query
 def mentions_without_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.extract_patterns(documents(spark, sf_dir), V.MENTION_PATTERNS, score=None)
@@ -550,6 +609,15 @@ def classify_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answered.select("id", inference.keep_allowed(F.col("answer"), ["DE", "ES", "FR"]).alias("answer"))
 
 
+@query
+def classify_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    taught = docs.filter(categories.fold(F.col("id")) >= V.HELD_OUT)
+    model = categories.learn(taught, "id", "text", "gold", categories.fold(F.col("id")) < 2 * V.HELD_OUT)
+    answers = categories.classify(docs, "id", "text", model, V.LEAST_PROBABILITY)
+    return answers.withColumn("held_out", categories.fold(F.col("id")) < V.HELD_OUT)
+
+
 @query
 def labels_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")

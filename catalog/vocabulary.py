@@ -85,3 +85,23 @@ LEARNING_ROUNDS = 3
 
 # letters a word needs before a spelling one edit away links it
 LINKED_LETTERS = 6
+
+# phrases a tagger is taught with
+SHOWN = {
+    "the": "ARTICLE",
+    "der": "ARTICLE",
+    "die": "ARTICLE",
+    "le": "ARTICLE",
+    "les": "ARTICLE",
+    "el": "ARTICLE",
+    "los": "ARTICLE",
+    "with": "WORD",
+    "und": "WORD",
+    "released under the mit license": "LICENSE",
+    "licensed under the gnu general public license": "LICENSE",
+    "is licensed under cc by": "LICENSE",
+}
+
+# digests of ids run from 0 to 255: those below this number are held out, as many more set the leads
+HELD_OUT = 51
+LEAST_PROBABILITY = 0.6

@@ -15,11 +15,15 @@ def db():
     return connect(SF_DIR)
 
 
+# Learnt by rounds over shuffled texts: tested by its own figures instead.
+BEYOND_SQL = {"learned_mentions", "learned_mention_accuracy"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | BEYOND_SQL
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, db, name):
     found = difference(QUERIES[name](spark, SF_DIR), db, ORACLES[name])
     assert found is None, found
