@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import vocabulary as V
-from namesift.functions import fixed, prompts
+from namesift.functions import fixed, names, prompts
 from namesift.functions import text as X
 from namesift.functions.fixed import COUNT_CATEGORIES
-from namesift.operators import boundaries, categories, clusters, evaluation, fuzzy, ids, inference, linking, markup, matching, mentions
-from namesift.operators import retrieval, routing, scoring, tagger, votes
+from namesift.operators import answers, boundaries, categories, clusters, evaluation, fuzzy, ids, inference, linking, markup, matching, mentions
+from namesift.operators import ranked, retrieval, routing, scoring, tagger, votes
 from namesift.plans import record_to_record, row_to_question, text_to_entity, title_guess
 from namesift.session import spread, stage, stage_path, tune
 from namesift.sources import read_table, write_table
@@ -597,6 +597,46 @@ def infer_after_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.infer(asked, "prompt", Unsteady(V.NUMBER_PATTERN, name="unsteady"), calls=calls).select("id", "answer")
 
 
+@query
+def infer_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = documents(spark, sf_dir).withColumn("prompt", prompts.entity_prompt(F.col("text"), "first number"))
+    calls = inference.Calls(batch=64, min_interval=0.001, cluster_interval=0.005)
+    return inference.infer(asked, "prompt", inference.PatternBackend(V.NUMBER_PATTERN), calls=calls, max_parallel=4).select("id", "answer")
+
+
+@query
+def infer_bucketed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = documents(spark, sf_dir).withColumn("prompt", prompts.entity_prompt(F.col("text"), "first number"))
+    backend, cache = inference.PatternBackend(V.NUMBER_PATTERN), answers.BucketedCache(answers.new_name(), 8)
+    calls = inference.Calls(batch=64)
+    inference.infer(asked.filter(F.col("gold") == "en"), "prompt", backend, cache=cache, calls=calls, waves=2)
+    cache.compact(spark)
+    return inference.infer(asked, "prompt", backend, cache=cache, calls=calls, waves=2).select("id", "answer")
+
+
+def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title's first two words, beside the title: the second word is its first one at times only."""
+    title = X.page_title(F.col("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", title.alias("title"))
+    return pages.select("page_id", "title", F.get(F.split("title", " "), F.lit(1)).alias("name"))
+
+
+@query
+def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = name_pairs(spark, sf_dir)
+    folded, first = names.folded(F.col("name")), F.get(F.split(names.folded(F.col("title")), " "), F.lit(0))
+    similarity = names.name_similarity(F.col("name"), F.col("title"))
+    return pairs.select(
+        "page_id", folded.alias("folded"), names.sound_key(folded).alias("sound"), names.sound_key(first).alias("first_sound"), F.round(similarity, 6).alias("similarity")
+    )
+
+
+@query
+def judge_name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = record_to_record.judge_name_variants(name_pairs(spark, sf_dir), "name", "title", inference.CueBackend((("en", "Y."),)), 0.7, 0.5)
+    return judged.select("page_id", F.round("similarity", 6).alias("similarity"), "is_first_name")
+
+
 @query
 def classify_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified_documents(spark, sf_dir).select("id", "answer")
@@ -783,6 +823,12 @@ def retrieve_pages_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_pages(spark, sf_dir, rare_pages=5)
 
 
+@query
+def retrieve_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build(pages_html(spark, sf_dir))
+    return ranked.retrieve(index, table(spark, sf_dir, "benchmark"), "item_id", "text", RESULTS)
+
+
 @query
 def guess_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = title_guess.title_results(top_pages(spark, sf_dir), pages_html(spark, sf_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import logging
+import math
 import re
 import time
 from collections.abc import Iterator, Mapping, Sequence
@@ -12,15 +13,16 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from pyspark import TaskContext
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesift.functions import fixed
 from namesift.functions import text as X
+from namesift.operators.answers import CACHE_SCHEMA, AnswerCache, FolderCache
 from namesift.session import stage, stage_path
 
-CACHE_SCHEMA = "key string, answer string, attempts int, prompt string, backend string, model string"
 WAVES = 4
 
 logger = logging.getLogger(__name__)
@@ -72,15 +74,42 @@ class CueBackend:
 
 @dataclass(frozen=True)
 class Calls:
-    """How a model is called: failed attempts allowed, growth of the wait, gap between calls."""
+    """How a model is called: failed attempts allowed, growth of the wait, gap between calls.
+
+    ``min_interval`` is the gap between the calls of one task, ``cluster_interval`` that between all calls of the
+    cluster, first and repeated ones alike.
+    """
 
     attempts: int = fixed.MAX_FAILED_ATTEMPTS
     wait: float = fixed.FIRST_WAIT_SECONDS
     min_interval: float = 0.0
     batch: int = 1
+    cluster_interval: float = 0.0
+
+
+@dataclass
+class Slots:
+    """The moments at which one of ``parallel`` tasks may call: no two tasks share one.
+
+    Time is cut into slots of ``interval`` seconds from a moment all machines know, and slot number s belongs to
+    task s modulo ``parallel``. So tasks that know nothing of each other, start late or repeat calls never exceed one call
+    per slot together, as far as clocks agree. A task that Spark repeats takes over the slots of the one that failed.
+    """
+
+    interval: float
+    parallel: int
+    task: int
+    used: int = -1
+
+    def wait(self) -> None:
+        """Sleep until the next own slot that has not begun and was not used."""
+        now = time.time()
+        number = max(self.used + 1, math.ceil(now / self.interval))
+        self.used = number + (self.task - number) % self.parallel
+        time.sleep(max(0.0, self.used * self.interval - now))
 
 
-def _ask(backend: Backend, calls: Calls, prompts: list[str]) -> list[tuple[str | None, int]]:
+def _ask(backend: Backend, calls: Calls, prompts: list[str], slots: Slots | None = None) -> list[tuple[str | None, int]]:
     """Answers with the number of failed attempts; after the last one the answer is None.
 
     The wait grows by ``calls.wait`` with every failure.
@@ -88,6 +117,8 @@ def _ask(backend: Backend, calls: Calls, prompts: list[str]) -> list[tuple[str |
     for failed in range(calls.attempts):
         if calls.min_interval:
             time.sleep(calls.min_interval)
+        if slots is not None:
+            slots.wait()
         try:
             answers = backend.answer(prompts)
             if len(answers) != len(prompts):
@@ -99,12 +130,14 @@ def _ask(backend: Backend, calls: Calls, prompts: list[str]) -> list[tuple[str |
     return [(None, calls.attempts) for _ in prompts]
 
 
-def _answer_batches(backend: Backend, calls: Calls, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _answer_batches(backend: Backend, calls: Calls, parallel: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    task = TaskContext.get()
+    slots = Slots(calls.cluster_interval, parallel, task.partitionId() if task else 0) if calls.cluster_interval else None
     for rows in batches:
         prompts = rows["prompt"].tolist()
         answered: list[tuple[str | None, int]] = []
         for start in range(0, len(prompts), calls.batch):
-            answered += _ask(backend, calls, prompts[start : start + calls.batch])
+            answered += _ask(backend, calls, prompts[start : start + calls.batch], slots)
         yield rows.assign(
             backend=backend.name,
             model=backend.model,
@@ -113,13 +146,10 @@ def _answer_batches(backend: Backend, calls: Calls, batches: Iterator[pd.DataFra
         )[["key", "answer", "attempts", "prompt", "backend", "model"]]
 
 
-def _read_cache(df: DataFrame, path: str, backend: Backend | None = None) -> DataFrame | None:
-    """Kept answers, of one backend and model if given; only their folders are read then."""
-    try:
-        kept = df.sparkSession.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException:
-        return None
-    if backend is None:
+def _read_cache(df: DataFrame, cache: str | AnswerCache, backend: Backend | None = None) -> DataFrame | None:
+    """Kept answers, of one backend and model if given."""
+    kept = (FolderCache(cache) if isinstance(cache, str) else cache).read(df.sparkSession)
+    if kept is None or backend is None:
         return kept
     return kept.filter((F.col("backend") == backend.name) & (F.col("model") == backend.model))
 
@@ -137,18 +167,19 @@ def infer(
     prompt: str,
     backend: Backend,
     answer: str = "answer",
-    cache: str | None = None,
+    cache: str | AnswerCache | None = None,
     calls: Calls = Calls(),
     max_parallel: int | None = None,
     default: str = fixed.UNKNOWN,
     waves: int = WAVES,
     keep_prompts: bool = False,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Add the backend's answer to every row.
 
     Different prompts without a kept answer are asked in ``mapInPandas`` tasks and
     written to ``cache``, a parquet folder by backend and model (a fresh one if none is
-    named), before anything reads them, so a later action or a lost executor calls no
+    named) or a bucketed table, before anything reads them, so a later action or a lost executor calls no
     model again beyond the tasks that were running. They are asked in ``waves`` by
     ranges of their key, each committed on its own, so a run that fails late keeps
     what earlier waves were answered. Prompt texts are kept only on request. Spark may run a task twice; reading the
@@ -156,14 +187,16 @@ def infer(
     prompt that failed to the end gets ``default`` and is asked again next run.
 
     ``max_parallel`` sets how many calls run at once, by default one per core of the
-    cluster; with ``calls.min_interval`` that bounds the request rate. Rows with a NULL
+    cluster; with ``calls.cluster_interval`` the rate holds for the whole cluster. ``profile`` asks for the
+    executors and devices that the tasks calling the model need, and for no other stage. Rows with a NULL
     prompt get a NULL answer and take no part in the join.
     """
     cache = cache or stage_path(df.sparkSession, "answers")
+    store = FolderCache(cache) if isinstance(cache, str) else cache
     keyed = df.withColumn("_key", prompt_key(backend, F.col(prompt)))
     asked = keyed.filter(F.col(prompt).isNotNull())
     todo = asked.select(F.col("_key").alias("key"), F.col(prompt).alias("prompt")).distinct()
-    known = _read_cache(df, cache, backend)
+    known = _read_cache(df, store, backend)
     if known is not None:
         todo = todo.join(known.filter("answer is not null").select("key"), "key", "left_anti")
     todo = stage(todo, "prompts")
@@ -172,12 +205,12 @@ def infer(
     for i in range(waves):
         # A number of partitions that is asked for is not coalesced at run time.
         part = todo.filter(wave == i).repartition(parallel, "key")
-        fresh = part.mapInPandas(functools.partial(_answer_batches, backend, calls), CACHE_SCHEMA)
+        fresh = part.mapInPandas(functools.partial(_answer_batches, backend, calls, parallel), CACHE_SCHEMA, profile=profile)
         if not keep_prompts:
             fresh = fresh.withColumn("prompt", F.lit(None).cast("string"))
-        fresh.write.mode("append").partitionBy("backend", "model").parquet(cache)
+        store.append(fresh)
 
-    kept = _read_cache(df, cache, backend)
+    kept = _read_cache(df, store, backend)
     if kept is None:
         kept = df.sparkSession.createDataFrame([], CACHE_SCHEMA)
     kept = kept.filter("answer is not null").groupBy("key").agg(F.min("answer").alias("_answer"))
