@@ -114,26 +114,36 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
+# Characters decoded at once, and runs of stars among them that can stand for any letter: no word needs more.
+SPAN, STARS = 48, 2
 
 
 def decode(span: str, model: np.ndarray, read_all: bool = False) -> str:
-    """Most likely letters behind a written span: Viterbi over the lattice of its readings.
+    """Most likely letters behind a written span. One of more than ``SPAN`` characters is read piece by piece, to its end."""
+    return "".join(_decode(span[i : i + SPAN], model, read_all) for i in range(0, len(span), SPAN))
+
+
+def _decode(span: str, model: np.ndarray, read_all: bool) -> str:
+    """Viterbi over the lattice of the readings of a piece.
 
     A character reads as itself, as a letter it can stand for, or as nothing if it
     is a mark; a run of three or more reads as one or two. A state is the last three symbols.
     With ``read_all`` a mark that can stand for a letter does.
     """
     states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+    stars = 0
     for run in _RUN.finditer(span):
         char, length = run.group(1), run.end() - run.start()
         options: list[tuple[float, str]] = []
-        letters = [(0.0, char)] if char.isalpha() else [(SUBSTITUTED, c) for c in LEET.get(char, "")]
+        stars += char == "*"
+        meant = "" if char == "*" and stars > STARS else LEET.get(char, "")
+        letters = [(0.0, char)] if char.isalpha() else [(SUBSTITUTED, c) for c in meant]
         for cost, c in letters:
             if length < 3:
                 options.append((cost * length, c * length))
             else:
                 options += [(cost + REPEATED, c), (cost + REPEATED, c * 2)]
-        if not char.isalnum() and not (read_all and char in LEET):
+        if not char.isalnum() and not (read_all and meant):
             options.append(((DROPPED_LEET if char in LEET else DROPPED) * length, ""))
         if not options:
             options.append((0.0, char))
@@ -156,7 +166,8 @@ def decode(span: str, model: np.ndarray, read_all: bool = False) -> str:
 _ENDS = re.compile(r"^[^\w@$|+*€£(!¡]+|[^\w$@+*€£]+$")
 _PIECES = re.compile(r"[/:?=&#,;]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+*][ .\-_]{1,2}){2,}[\w@$!|+*](?!\w)")
+# No character is both a letter and a separator here, so a run can be read in one way only.
+_SPACED = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!|+*])[ .\-_]{1,2}){2,}(?:[^\W_]|[@$!|+*])(?!\w)")
 _SEPARATORS = re.compile(r"[ .\-_]+")
 
 
