@@ -10,11 +10,14 @@ from namesift.llm.common import documents, packed
 # White space of the contract: space and the control characters 9 to 13.
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-SEPARATORS = "|>»•"
+SEPARATORS = "|>•"
+STOPS = ".!?…。！？"
 BOILERPLATE = (
     "(?i)(cookie|all rights reserved|privacy policy|terms of (use|service)|click here|subscribe"
     "|sign (in|up)|log ?in to|enable javascript|lorem ipsum|skip to content)"
 )
+# Words of a line up to which a boilerplate phrase fails it, and words that go with each separator or shout at least.
+BOILERPLATE_WORDS, WORDS_EACH = 12, 5
 # A document fails that loses more than this share of the characters of its lines.
 MOST_LOST = 0.5
 
@@ -36,14 +39,14 @@ def words(text: Column) -> Column:
 def repeated_words(tokens: Column, window: int = 5) -> Column:
     """Words that lie in a run of ``window`` words found twice or more.
 
-    Runs are compared as 64-bit hashes. Most texts have no repeated run, which one
-    hash set shows; for the others equal runs are brought together by a sort, and
+    Words are hashed once and runs are compared as 64-bit hashes of these. Most texts have no repeated
+    run, which one hash set shows; for the others equal runs are brought together by a sort, and
     the words they cover are added up along the text.
     """
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size(tokens) - window),
-        lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(window)]),
-    )
+
+    def runs(own: Column) -> Column:
+        last = F.size(own) - window
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(window)]))
 
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -64,22 +67,33 @@ def repeated_words(tokens: Column, window: int = 5) -> Column:
             lambda a: a["n"],
         )
 
-    several = let(runs, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+    hashed = let(F.transform(tokens, lambda w: F.xxhash64(w)), runs)
+    several = let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
     return F.when(F.size(tokens) < window, F.lit(0)).otherwise(several)
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a trimmed line is no prose: navigation, symbols, shouting, no sentence end, repeats, boilerplate."""
+    """Whether a trimmed line is no prose: navigation, symbols, shouting, no sentence end, repeats, boilerplate.
+
+    Separators and shouts have to be many for the words of the line, and a boilerplate phrase fails a short line only, so
+    one of them in a long paragraph does no harm. Quotation marks of any kind separate nothing.
+    """
     length = F.char_length(line)
-    own = F.split(line, f"[{SPACES}]+")
-    return (
-        (_n(line, SEPARATORS) >= 3)
-        | ~line.rlike("[.!?…]")
-        | (length - F.char_length(F.replace(line, F.lit("!!"), F.lit(""))) >= 6)
-        | (10 * _n(line, SYMBOLS) > length)
-        | line.rlike(BOILERPLATE)
-        | (3 * F.size(F.array_distinct(own)) < F.size(own))
-    )
+
+    def rules(own: Column) -> Column:
+        n = F.size(own)
+        separators = _n(line, SEPARATORS)
+        shouted = length - F.char_length(F.replace(line, F.lit("!!"), F.lit("")))
+        return (
+            ((separators >= 3) & (WORDS_EACH * separators >= n))
+            | ~line.rlike(f"[{STOPS}]")
+            | ((shouted >= 6) & (WORDS_EACH * shouted >= 2 * n))
+            | (10 * _n(line, SYMBOLS) > length)
+            | ((n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
+            | (3 * F.size(F.array_distinct(own)) < n)
+        )
+
+    return let(F.split(line, f"[{SPACES}]+"), rules)
 
 
 def rated(docs: DataFrame) -> DataFrame:
@@ -89,6 +103,9 @@ def rated(docs: DataFrame) -> DataFrame:
     the line rules; the document is kept if the base rules pass and its failing lines
     hold at most half of its characters. A null text counts as an empty one: it has
     no words and fails. ``doc`` is the row as a struct.
+
+    The row passes through a one-element explode. A later filter on a verdict cannot be pushed below it, where
+    it would work the text out anew at every use.
     """
     whole = F.coalesce("doc.text", F.lit(""))
     worded = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
@@ -119,7 +136,8 @@ def rated(docs: DataFrame) -> DataFrame:
         }
     )
     kept = ~F.col("base_failed") & (F.col("lost_chars") <= F.col("line_chars") * MOST_LOST)
-    return rows.withColumn("kept", kept).drop("judged")
+    rows = rows.withColumn("kept", kept).drop("judged")
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("r")).select("r.*")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -146,11 +164,11 @@ p AS (SELECT r, count(DISTINCT i + k) AS n_repeat FROM g, range(0, 5) AS o(k) WH
 s AS (SELECT r, trim(unnest(lines), {_TRIM}) AS s FROM w),
 f AS (
   SELECT r, s, length(s) AS n, string_split_regex(s, '[ \\t-\\r]+') AS own,
-    length(s) - length(translate(s, '{SEPARATORS}', '')) >= 3
-      OR NOT regexp_matches(s, '[.!?…]')
-      OR length(s) - length(replace(s, '!!', '')) >= 6
+    (length(s) - length(translate(s, '{SEPARATORS}', '')) >= 3 AND {WORDS_EACH} * (length(s) - length(translate(s, '{SEPARATORS}', ''))) >= len(own))
+      OR NOT regexp_matches(s, '[{STOPS}]')
+      OR (length(s) - length(replace(s, '!!', '')) >= 6 AND {WORDS_EACH} * (length(s) - length(replace(s, '!!', ''))) >= 2 * len(own))
       OR 10 * (length(s) - length(translate(s, '{SYMBOLS}', ''))) > length(s)
-      OR regexp_matches(s, '{BOILERPLATE}')
+      OR (len(own) <= {BOILERPLATE_WORDS} AND regexp_matches(s, '{BOILERPLATE}'))
       OR 3 * len(list_distinct(own)) < len(own) AS fails
   FROM s),
 c AS (SELECT r, sum(n) AS line_chars, coalesce(sum(n) FILTER (fails), 0) AS lost_chars FROM f GROUP BY r),

@@ -362,3 +362,72 @@ def test_rare_pages_that_label_themselves_train_the_field(spark):
     assert least["page_id"] != 99
     found = {r["page_id"]: r["text"] for r in html.extracted(pages, sample=1).collect()}
     assert "The one long text" in found[99]
+
+
+@pytest.mark.parametrize("text", ["_" * 10_000 + "ab", "a_" * 5_000 + "bb", "*a" * 5_000, "@$*1" * 25_000, "a. " * 10_000 + "bb", "*abc$1!" * 1_500])
+def test_hostile_texts_are_scored_in_seconds(text):
+    import time
+
+    scorer = toxicity.Scorer(np.full(toxicity.SYMBOLS**4, -3.0, np.float32), {"idiot": 3.0}, (0.0, 1.0, 0.0))
+    start = time.perf_counter()
+    assert 0 <= scorer.score(text) <= 1
+    assert time.perf_counter() - start < 10
+
+
+def test_long_spans_are_read_to_their_end():
+    model = np.full(toxicity.SYMBOLS**4, -3.0, np.float32)
+    assert toxicity.decode("ab1" * 40, model).count("ab") == 40
+    assert toxicity.spaced("x _ y _ z") == [] and toxicity.spaced("i.d.i.o.t now") == ["idiot"]
+
+
+def test_decoding_agrees_with_all_readings():
+    rng = np.random.default_rng(4)
+    model = rng.normal(-3, 1, toxicity.SYMBOLS**4).astype(np.float32)
+
+    def readings(span):
+        out = [(0.0, "")]
+        for run in toxicity._RUN.finditer(span):
+            c, n = run.group(1), run.end() - run.start()
+            letters = [(0.0, c)] if c.isalpha() else [(toxicity.SUBSTITUTED, x) for x in toxicity.LEET.get(c, "")]
+            options = [(cost * n, x * n) for cost, x in letters] if n < 3 else [(cost + toxicity.REPEATED, x * k) for cost, x in letters for k in (1, 2)]
+            if not c.isalnum():
+                options.append(((toxicity.DROPPED_LEET if c in toxicity.LEET else toxicity.DROPPED) * n, ""))
+            options = options or [(0.0, c)]
+            out = [(a + cost, t + x) for a, t in out for cost, x in options]
+        return out
+
+    def worth(cost, text):
+        codes = [0, 0, 0, *toxicity.symbols(text).tolist(), 0]
+        return cost + sum(float(model[((codes[i] * 32 + codes[i + 1]) * 32 + codes[i + 2]) * 32 + codes[i + 3]]) for i in range(len(codes) - 3))
+
+    for span in ["1d1ot", "st*p!d", "aaab$", "x.y-z", "60", "f**k", "a|+b"]:
+        best = max(worth(*r) for r in readings(span))
+        found = toxicity.decode(span, model)
+        assert max(worth(c, t) for c, t in readings(span) if t == found) == pytest.approx(best, abs=1e-3)
+
+
+def test_line_rules_look_at_the_length_of_the_line(spark):
+    filler = " ".join(f"plain{i} words{i} follow here{i}." for i in range(110))
+    texts = {
+        1: filler + " Then bake each cookie slowly and eat it.",
+        2: " ".join(f"Il{i} dit{i} « mot{i} » et part{i} vers la{i} ville{i}." for i in range(30)),
+        3: "\n".join(f"文{i} 字{i} 列{i} は{i} ここ{i} に{i} あり{i} ます{i} ね{i} よ{i}。" for i in range(4)),
+        4: "Accept every cookie now please or leave.\n" * 3,
+        5: "home | news | shop | help | more | login. " * 3,
+        6: "Buy!! it!! now!! or!! never!! see!! this!! offer!! again!! friend!! today.",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r["doc_id"] for r in quality.clean(docs).orderBy("doc_id").collect()] == [1, 2, 3]
+
+
+def test_a_filter_on_the_verdict_does_not_repeat_the_work(spark):
+    import time
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = quality.rated(docs)
+    for kept in (rows.where("kept"), rows.where("not base_failed")):
+        assert plan(kept).count("split(") <= plan(rows).count("split(")
+    start = time.perf_counter()
+    assert 0 < quality.clean(docs).count() < docs.count()
+    assert time.perf_counter() - start < 60
