@@ -83,19 +83,29 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int = LEAST) -> list[tuple[
                 found.append((p, q, most))
 
 
+def _whole_seed(words: np.ndarray) -> np.ndarray:
+    """Seeds of all runs as long as ``words``, kept apart from those of other lengths."""
+    return seeds_of(words, len(words)) ^ (np.uint64(len(words)) * MIX)
+
+
 def _hashed(rows: DataFrame, least: int) -> DataFrame:
-    """Items as word and seed hashes; those of fewer than ``least`` words have no seed and match nothing."""
+    """Items as word hashes, and their seeds with how often each occurs.
+
+    An item of fewer than ``least`` words has itself as its only seed; one without words has none and is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             words = [words_of(t.as_py(), powers) for t in batch.column(2)]
-            seeds = [np.unique(seeds_of(w, least)) for w in words]
-            longs = [pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64())) for xs in (words, seeds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs], ["item", "item_id", "words", "seeds"])
+            seeds = [np.unique(seeds_of(w, least) if len(w) >= least else _whole_seed(w) if len(w) else w, return_counts=True) for w in words]
+            longs = [words, [s for s, _ in seeds], [n.astype(np.int64) for _, n in seeds]]
+            arrays = [pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64())) for xs in longs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["item", "item_id", "words", "seeds", "times"])
 
     keyed = rows.select(row_key("item_id", "text"), F.col("item_id").cast("long"), F.col("text").cast("binary"))
-    return keyed.mapInArrow(run, "item long, item_id long, words array<long>, seeds array<long>").where("size(seeds) > 0")
+    schema = "item long, item_id long, words array<long>, seeds array<long>, times array<long>"
+    return keyed.mapInArrow(run, schema).where("size(seeds) > 0")
 
 
 def _bits(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,14 +128,18 @@ def seed_filter(items: DataFrame) -> np.ndarray:
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """(row, doc_id, item_id, n_tiles, n_covered, n_words, coverage) of contaminated documents.
 
-    A document and an item that share a run of ``least`` words are tiled; the pair
+    A document and an item that share runs of ``least`` words are tiled; the pair
     is returned if tiles cover at least ``coverage`` of the item's words. ``row`` is
     the content key of doc_id and text. Documents first pass a bit set of the
     items' seeds inside their scan, so only those with a likely seed leave their
-    task; the join on the seed itself decides. Null and empty texts, items of fewer
-    than ``least`` words and empty tables give no rows; repeated items give a row each.
+    task; the join on the seed itself decides. A tile has one seed per ``least`` words at
+    least, so pairs with fewer shared seeds than ``coverage`` needs are dropped before
+    any words travel. An item of fewer than ``least`` words is found where a document has all of
+    it in one run. Null and empty texts, items without words and empty tables give no rows; repeated items give
+    a row each.
     """
     items = stage(_hashed(benchmark, least), "items")
+    short = sorted(r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n") < least).distinct().collect())
     bits = docs.sparkSession.sparkContext.broadcast(seed_filter(items).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +152,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage
             keep, words, seeds = [], [], []
             for i, text in enumerate(batch.column(2)):
                 own = words_of(text.as_py(), powers)
-                own_seeds = seeds_of(own, least)
+                own_seeds = np.concatenate([seeds_of(own, least), *[seeds_of(own, n) ^ (np.uint64(n) * MIX) for n in short if len(own) >= n]])
                 low, high = _bits(own_seeds)
                 hits = np.unique(own_seeds[likely(low) & likely(high)])
                 if len(hits):
@@ -154,7 +168,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage
     keyed = docs.select(row_key("doc_id", "text"), F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     near = stage(keyed.mapInArrow(run, "row long, doc_id long, words array<long>, seeds array<long>"), "seeded")
     own = near.select("row", F.explode("seeds").alias("seed")).distinct()
-    pairs = own.join(items.select("item", F.explode("seeds").alias("seed")), "seed").select("row", "item").distinct()
+    listed = items.select("item", F.size("words").alias("n"), F.explode(F.arrays_zip("seeds", "times")).alias("s"))
+    shared = own.join(listed.select("item", "n", F.col("s.seeds").alias("seed"), "s.times"), "seed")
+    enough = F.sum("times") * least >= F.first("n") * coverage
+    pairs = shared.groupBy("row", "item").agg(enough.alias("enough")).where("enough").select("row", "item")
     texts = near.select("row", "doc_id", F.col("words").alias("text"))
     wording = items.select("item", "item_id", "words")
     pairs = pairs.join(wording, "item").join(texts, "row")
@@ -164,7 +181,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage
             counts, covered, size = [], [], []
             for a, b in zip(batch.column(3), batch.column(4), strict=True):
                 item = a.values.to_numpy().view(np.uint64)
-                found = tiles(b.values.to_numpy().view(np.uint64), item, least)
+                found = tiles(b.values.to_numpy().view(np.uint64), item, min(least, len(item)))
                 counts.append(len(found))
                 covered.append(sum(t[2] for t in found))
                 size.append(len(item))
