@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 # Labelled pages the field is trained on: those of the smallest hashes; documented bound.
 TRAIN_PAGES = 120
 ROUNDS = 12
+# Innermost elements around a block that are looked at.
+NEAREST = 32
 
 # Element kinds of the HTML standard.
 BLOCKS = frozenset(
@@ -44,7 +47,7 @@ _WORD = re.compile(r"\w+")
 
 @dataclass
 class Block:
-    """Text of a leaf block with its elements, outermost first, and the share of its text in links."""
+    """Text of a leaf block with its ``NEAREST`` elements, outermost first, and the share of its text in links."""
 
     text: str
     tags: tuple[str, ...]
@@ -57,21 +60,26 @@ def blocks(page: str | None) -> list[Block]:
 
     Broken markup is read as far as it goes: unclosed elements last until an outer
     one ends, comments and raw elements that do not end last to the end. Raw elements
-    such as scripts have no text. Character references are decoded and white space
-    is made one space.
+    such as scripts have no text, whether or not their tag ends in a slash. Character references are decoded
+    and white space is made one space. Work grows with the length of the page, however deep its elements lie.
     """
     page = page or ""
     stack: list[tuple[str, frozenset[str]]] = []
     out: list[Block] = []
     text: list[str] = []
+    open_tags: Counter[str] = Counter()
     linked = at = 0
 
+    def shut_from(i: int) -> None:
+        open_tags.subtract(t for t, _ in stack[i:])
+        del stack[i:]
+
     def flush() -> None:
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            names = frozenset(n for _, ns in stack for n in ns)
-            out.append(Block(whole, tuple(t for t, _ in stack), names, linked / len(whole)))
+            near = stack[-NEAREST:]
+            out.append(Block(whole, tuple(t for t, _ in near), frozenset(n for _, ns in near for n in ns), linked / len(whole)))
         text.clear()
         linked = 0
 
@@ -80,7 +88,7 @@ def blocks(page: str | None) -> list[Block]:
         if piece:
             piece = html.unescape(piece)
             text.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if open_tags["a"]:
                 linked += len(piece)
 
     while (m := _MARKUP.search(page, at)) is not None:
@@ -91,7 +99,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         name = name.lower()
         if name in RAW:
-            if not closing and not rest.endswith("/"):
+            if not closing and not (name == "svg" and rest.endswith("/")):
                 end = _CLOSING[name].search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -102,29 +110,30 @@ def blocks(page: str | None) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_tags[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    shut_from(i)
                     break
             continue
         if shut := CLOSES.get(name):
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(open_tags[t] for t in shut) else ():
                 if stack[i][0] in shut:
-                    del stack[i:]
+                    shut_from(i)
                     break
                 if stack[i][0] in BLOCKS and name == "p":
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "menu", "select"):
                     break
         elif name in BLOCKS:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_tags["p"] else ():
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    shut_from(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
         found = frozenset(w for m in _NAMES.finditer(rest) for w in (m.group(1) or m.group(2) or m.group(3) or "").lower().split()) if rest else frozenset()
         stack.append((name, found))
+        open_tags[name] += 1
     add(page[at:])
     flush()
     return out
@@ -262,10 +271,13 @@ def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> Field:
 
     def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([0 < sum(map(marked, found)) < len(found) for found in (blocks(t.as_py()) for t in batch.column(1))], pa.bool_()))
+            kept = pa.array([0 < sum(map(marked, found)) < len(found) for found in (blocks(t.as_py()) for t in batch.column(1))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept)], ["h"])
 
     ids = pages.where("html is not null").select(F.xxhash64("page_id", "html").alias("h"), "html")
-    chosen = ids.mapInArrow(usable, "h long, html string").orderBy("h").limit(sample)
+    # Hashes are ranked first; only the pages chosen leave their task.
+    first = ids.mapInArrow(usable, "h long").orderBy("h").limit(sample)
+    chosen = ids.join(F.broadcast(first.distinct()), "h").groupBy("h").agg(F.min("html").alias("html")).orderBy("h")
     rng = random.Random(0)
     labelled = []
     for _, page in chosen.toPandas().itertuples(index=False):

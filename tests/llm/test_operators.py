@@ -431,3 +431,43 @@ def test_a_filter_on_the_verdict_does_not_repeat_the_work(spark):
     start = time.perf_counter()
     assert 0 < quality.clean(docs).count() < docs.count()
     assert time.perf_counter() - start < 60
+
+
+def test_items_of_few_words_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "lorem"), (2, "lorem ipsum dolor"), (3, "one two three four five six"), (4, " ?! ")], "item_id long, text string")
+    rows = [(1, "a Lorem ipsum, dolor b"), (2, "lorem dolor ipsum"), (3, "x one two three four five y"), (4, "ipsum dolor"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.overlaps(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in found} == {(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (3, 3, 5 / 6)}
+
+
+def test_one_shared_phrase_does_not_pair_long_items(spark):
+    start = "which of the following is"
+    items = spark.createDataFrame([(i, f"{start} " + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{start} " + " ".join(f"d{i}x{k}" for k in range(60))) for i in range(20)] + [(99, items.first()["text"])], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(docs, items).collect()] == [(99, 0)]
+
+
+@pytest.mark.parametrize("page", ["<div>a" * 50_000, "<b>a" * 50_000 + "<p>" * 10_000, "<li><div>a" * 20_000, "<div>" * 30_000 + "</x>" * 30_000, "<p><a>x" * 30_000, '<div class="k">t' * 30_000])
+def test_deep_pages_take_time_that_grows_with_their_length(page):
+    import time
+
+    start = time.perf_counter()
+    found = html.blocks(page)
+    assert time.perf_counter() - start < 10
+    assert all(len(b.tags) <= html.NEAREST for b in found)
+
+
+def test_a_slash_does_not_close_a_script():
+    page = '<body><script src=/js/>var code = 1;</script><article><p>Text</p><svg viewBox="0"/><p>More</p></article>'
+    assert [b.text for b in html.blocks(page)] == ["Text", "More"]
+    assert [b.text for b in html.blocks('<style/>p{}</style><p>One')] == ["One"]
+
+
+def test_shards_keep_the_order_of_the_mix(spark, odd):
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    mixed = {r["doc_id"]: r["order"] for r in mixing.mixed(docs).select("doc.doc_id", "order").collect()}
+    out = corpus_pipeline.sharding_stage(spark, common.stage(corpus_pipeline.mixing_stage(spark, docs, ""), "mixing"), "")
+    rows = out.collect()
+    assert out.columns == [*[c for c in docs.columns if c != "shard"], "mix_order", "shard", "shard_depth", "shard_bytes"]
+    assert {r["doc_id"]: r["mix_order"] for r in rows} == mixed and len(set(mixed.values())) == len(rows)
