@@ -67,7 +67,8 @@ def extract_gazetteer(
     Words are joined on at most three words at a time. A longer phrase is looked
     up by its first three and then checked against the words that follow, so the
     text grows at most threefold whatever the phrase lengths. The exploded rows
-    carry no document text. With up to ``FIRST_WORDS`` entries only places whose
+    carry no document text, but for the words that follow where a longer phrase begins. If the beginnings
+    of longer phrases are too many to list, their places are looked up in the text again by id. With up to ``FIRST_WORDS`` entries only places whose
     word starts some phrase are exploded. A dictionary measured as small is
     broadcast, and then nothing is shuffled.
     """
@@ -97,17 +98,21 @@ def extract_gazetteer(
         )
 
     firsts: dict[int, list[str]] = {}
+    long_keys: list[str] | None = []
+    if size["longest"] > KEY_WORDS:
+        found = entries.filter("_long is not null").select("_key").distinct().limit(FIRST_WORDS + 1).collect()
+        long_keys = sorted(r["_key"] for r in found) if len(found) <= FIRST_WORDS else None
     if size["rows"] <= FIRST_WORDS:
         for row in entries.select("_k", "_first").distinct().collect():
             firsts.setdefault(row["_k"], []).append(row["_first"])
     words = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("_w"))
 
     def grams(k: int):
-        long = k == KEY_WORDS and size["longest"] > KEY_WORDS
-
         def gram(i):
-            window = X.word_run(F.col("_w"), i, size["longest"]) if long else F.lit(None).cast("string")
-            return F.struct(i.alias("pos"), X.word_run(F.col("_w"), i, k).alias("_key"), window.alias("_window"))
+            key, window = X.word_run(F.col("_w"), i, k), F.lit(None).cast("string")
+            if k == KEY_WORDS and long_keys:
+                window = F.when(key.isin(*long_keys), F.array_join(F.slice("_w", i + 1, F.lit(size["longest"])), " "))
+            return F.struct(i.alias("pos"), key.alias("_key"), window.alias("_window"))
 
         places = F.sequence(F.lit(0), F.size("_w") - k)
         if firsts:
@@ -117,11 +122,15 @@ def extract_gazetteer(
 
     pieces = [grams(k) for k in sorted(size["kinds"])]
     rows = words.select("id", F.explode(F.concat(*pieces)).alias("g")).select("id", "g.*")
+    hits = rows.join(broadcast_if_small(entries.drop("_k", "_first"), size), "_key")
+    if long_keys is None:
+        begun = hits.filter("_long is not null").join(words.select(F.col("id").alias("_id"), "_w"), F.col("id") == F.col("_id"))
+        begun = begun.filter(F.array_join(F.slice("_w", F.col("pos") + 1, F.col("_n")), " ") == F.col("_long"))
+        return hits.filter("_long is null").select(*MENTION_COLUMNS).unionByName(begun.select(*MENTION_COLUMNS))
     follows = F.col("_long").isNull() | F.startswith(
         F.concat(F.col("_window"), F.lit(" ")), F.concat(F.col("_long"), F.lit(" "))
     )
-    hits = rows.join(broadcast_if_small(entries.drop("_k", "_n", "_first"), size), "_key").filter(follows)
-    return hits.select(*MENTION_COLUMNS)
+    return hits.filter(follows).select(*MENTION_COLUMNS)
 
 
 class Tagger(Protocol):

@@ -40,6 +40,21 @@ def test_ids_of_repeated_keys_and_one_exchange_of_whole_rows(spark):
         assert moved and "Exchange hashpartitioning(k" not in plan
 
 
+@pytest.mark.parametrize("key_rows", [10, 1_000_000])
+def test_ids_of_a_hot_key_do_not_depend_on_the_split(spark, key_rows):
+    data = [(1, f"t{i % 300}") for i in range(400)] + [(k, "x") for k in range(2, 40)] + [(None, None)] * 3
+    df = spark.createDataFrame(data, "k int, text string").repartition(5)
+    got = ids.assign_ids(df, by=["k"], key_rows=key_rows).collect()
+    assert sorted(r["id"] for r in got) == list(range(len(data)))
+    assert sorted((r["k"], r["text"]) for r in got if r["k"]) == sorted(d for d in data if d[0])
+    hot = sorted((r["id"], r["text"]) for r in got if r["k"] == 1)
+    assert [i for i, _ in hot] == list(range(hot[0][0], hot[0][0] + 400))
+    import hashlib
+
+    order = [hashlib.md5(f"={t}".encode()).hexdigest() for _, t in hot]
+    assert order == sorted(order)
+
+
 def test_sentences_pass_over_abbreviations(spark):
     text = "Dr. Smith met Mr. Jones in the U.S. today. He paid 3.5 dollars! Was it J. R. Roe? Yes."
     docs = spark.createDataFrame([(1, text), (2, None)], "id int, text string")
@@ -98,6 +113,13 @@ def test_gazetteer_against_brute_force(spark):
     assert rows(gazetteer(spark, texts, phrases)) == brute_gazetteer(texts, phrases)
 
 
+def test_one_very_long_phrase_does_not_widen_other_rows(spark):
+    long = " ".join(f"w{i}" for i in range(1_000))
+    texts = [f"up {long} up", "up w0 w1 w2 w4", long[:-4]]
+    phrases = [("up", "Up", "T", 1.0), (long, "long", "T", 1.0)]
+    assert rows(gazetteer(spark, texts, phrases)) == brute_gazetteer(texts, phrases)
+
+
 def test_gazetteer_with_an_empty_dictionary(spark):
     assert gazetteer(spark, ["up"], PHRASES[-1:]).collect() == []
 
