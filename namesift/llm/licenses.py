@@ -50,8 +50,70 @@ TEMPLATES = {
         copyright notice this list of conditions and the following disclaimer <<optional>>2<</optional>> redistributions
         in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in
         the documentation and or other materials provided with the distribution""",
+    "gpl-3.0-or-later": """this <<var 1: program | library | file | software>> is free software you can redistribute it and or modify it under
+        the terms of the gnu general public license as published by the free software foundation either version 3 of
+        the license or <<optional>>at your option<</optional>> any later version""",
+    "gpl-2.0-or-later": """this <<var 1: program | library | file | software>> is free software you can redistribute it and or modify it under
+        the terms of the gnu general public license as published by the free software foundation either version 2 of
+        the license or <<optional>>at your option<</optional>> any later version""",
+    "gpl-2.0-only": """this <<var 1: program | library | file | software>> is free software you can redistribute it and or modify it under
+        the terms of the gnu general public license <<optional>>version 2<</optional>> as published by the free software
+        foundation <<var 3: version 2 | either version 2>> of the license <<var 2: this program | along with>>""",
+    "lgpl-2.1-or-later": """this <<var 1: program | library | file | software>> is free software you can redistribute it and or modify it under
+        the terms of the gnu lesser general public license as published by the free software foundation either version
+        2 1 of the license or <<optional>>at your option<</optional>> any later version""",
+    "lgpl-3.0-or-later": """this <<var 1: program | library | file | software>> is free software you can redistribute it and or modify it under
+        the terms of the gnu lesser general public license as published by the free software foundation either version
+        3 of the license or <<optional>>at your option<</optional>> any later version""",
+    "agpl-3.0-or-later": """this <<var 1: program | library | file | software>> is free software you can redistribute it and or modify it under
+        the terms of the gnu affero general public license as published by the free software foundation either version
+        3 of the license or <<optional>>at your option<</optional>> any later version""",
+    "apache-2.0": """licensed under the apache license version 2 0 the license you may not use this file except in compliance with
+        the license you may obtain a copy of the license at <<var 1: http | https>> www apache org licenses license 2 0
+        unless required by applicable law or agreed to in writing software distributed under the license is distributed
+        on an as is basis without warranties or conditions of any kind either express or implied see the license for the
+        specific language governing permissions and limitations under the license""",
+    "mpl-2.0": """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not
+        distributed with this file you can obtain one at <<var 1: http | https>> mozilla org mpl 2 0""",
+    "bsd-2-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that
+        the following conditions are met <<optional>>1<</optional>> redistributions of source code must retain the above
+        copyright notice this list of conditions and the following disclaimer <<optional>>2<</optional>> redistributions
+        in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in
+        the documentation and or other materials provided with the distribution this software is provided by""",
+    "bsd-3-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that
+        the following conditions are met <<optional>>1<</optional>> redistributions of source code must retain the above
+        copyright notice this list of conditions and the following disclaimer <<optional>>2<</optional>> redistributions
+        in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in
+        the documentation and or other materials provided with the distribution <<optional>>3<</optional>> neither the
+        name of <<var 12>> nor the names of <<var 6>> contributors may be used to endorse or promote products derived from
+        this software without specific prior written permission""",
+    "zlib": """this software is provided as is without any express or implied warranty in no event will <<var 6>> be held liable
+        for any damages arising from the use of this software permission is granted to anyone to use this software for any
+        purpose including commercial applications and to alter it and redistribute it freely subject to the following
+        restrictions""",
+    "bsl-1.0": """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license the software to use reproduce display distribute execute and
+        transmit the software and to prepare derivative works of the software""",
+    "unlicense": """this is free and unencumbered software released into the public domain anyone is free to copy modify publish
+        use compile sell or distribute this software either in source code form or as a compiled binary for any purpose
+        commercial or non commercial and by any means""",
+    "epl-2.0": """this program and the accompanying materials are made available under the terms of the eclipse public license
+        <<optional>>v<</optional>> 2 0 which <<var 1: is | accompanies>>""",
+    "cc0-1.0": """the person who associated a work with this deed has dedicated the work to the public domain by waiving all of
+        his or her rights to the work worldwide under copyright law""",
+    "cc-by-sa-4.0-notice": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> <<var 2: cc | creative commons>> <<var 1: by | attribution>> <<var 2: sa | sharealike | share alike>> <<optional>>international<</optional>> 4 0",
 }
 
+# Identifiers of the short form of a license line; each is a template of its own.
+IDENTIFIERS = (
+    "MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only"
+    " LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause MPL-2.0 ISC Zlib BSL-1.0 CC0-1.0 CC-BY-4.0"
+    " CC-BY-SA-4.0 EPL-2.0 Unlicense"
+).split()
+TEMPLATES |= {f"spdx-{x.lower()}": "spdx license identifier " + x.lower() for x in IDENTIFIERS}
+# Words that turn a notice into its opposite when they stand right before it.
+NEGATIONS = ("not", "never", "nor", "no")
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -164,6 +226,11 @@ def _compiled(templates: tuple[tuple[str, str], ...]) -> tuple[dict[int, list[st
     return openings, autos
 
 
+@lru_cache(maxsize=1)
+def _negations() -> frozenset[int]:
+    return frozenset(_hashes(" ".join(NEGATIONS)))
+
+
 @lru_cache(maxsize=1)
 def _phrases() -> tuple[tuple[np.ndarray, str], ...]:
     return tuple((np.array(_hashes(p), np.uint64), label) for p, label in PHRASES.items())
@@ -173,7 +240,7 @@ def scan(text: bytes | None, powers: Powers, templates: tuple[tuple[str, str], .
     """(n_words, n_base, first_word, last_word, base labels, template matches) of a whole text.
 
     A template match is (label, first word, end). Automata start only where two words
-    open a template, so their work follows the matches and not the text.
+    open a template, so their work follows the matches and not the text. A run right behind a negation is no match.
     """
     words = words_of(text, powers)
     places, base = [], set()
@@ -193,6 +260,8 @@ def scan(text: bytes | None, powers: Powers, templates: tuple[tuple[str, str], .
         starts = np.flatnonzero(np.isin(pairs, np.array(list(openings), np.uint64)))
         listed = words.tolist() if len(starts) else []
         for at in starts.tolist():
+            if at and listed[at - 1] in _negations():
+                continue
             for label in openings[int(pairs[at])]:
                 end = autos[label].match(listed, at)
                 if end is not None:

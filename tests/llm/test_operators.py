@@ -471,3 +471,72 @@ def test_shards_keep_the_order_of_the_mix(spark, odd):
     rows = out.collect()
     assert out.columns == [*[c for c in docs.columns if c != "shard"], "mix_order", "shard", "shard_depth", "shard_bytes"]
     assert {r["doc_id"]: r["mix_order"] for r in rows} == mixed and len(set(mixed.values())) == len(rows)
+
+
+def template_pattern(text):
+    """The same template as a regular expression over words with one space behind each."""
+    import re
+
+    out = ""
+    for part in re.split(r"(<<.*?>>)", text):
+        if part == "<<optional>>":
+            out += "(?:"
+        elif part == "<</optional>>":
+            out += ")?"
+        elif part.startswith("<<var"):
+            head, _, wordings = part[5:-2].partition(":")
+            options = "|".join(" ".join(re.findall(r"[a-z0-9]+", w)) + " " for w in wordings.split("|"))
+            out += f"(?:{options})" if wordings else rf"(?:[^ ]+ ){{0,{int(head)}}}"
+        else:
+            out += "".join(w + " " for w in re.findall(r"[a-z0-9]+", part))
+    negated = "".join(f"(?<! {n} )" for n in licenses.NEGATIONS)
+    return re.compile("(?<= )" + negated + out)
+
+
+def test_labels_agree_with_regular_expressions(spark):
+    import re
+
+    rng = random.Random(12)
+    patterns = {label: template_pattern(text) for label, text in licenses.TEMPLATES.items()}
+
+    def written(text):
+        out = []
+        for part in re.split(r"(<<optional>>.*?<</optional>>|<<.*?>>)", text):
+            if part.startswith("<<optional>>"):
+                out.append(part[12:-13] if rng.random() < 0.5 else "")
+            elif part.startswith("<<var"):
+                head, _, wordings = part[5:-2].partition(":")
+                out.append(rng.choice(wordings.split("|")) if wordings else " ".join(["someone"] * rng.randrange(int(head) + 2)))
+            else:
+                out.append(part)
+        words = " ".join(out).split()
+        if rng.random() < 0.3:
+            words[rng.randrange(len(words))] = "changed"
+        return " ".join(words)
+
+    texts = []
+    for text in [*licenses.TEMPLATES.values()] * 4:
+        before = rng.choice(["", "it is", "it is not", "never", "a note"])
+        texts.append(f"{before} {written(text)} {rng.choice(['', 'and more', written(rng.choice(list(licenses.TEMPLATES.values())))])}")
+    docs = spark.createDataFrame([(i, t.upper() if i % 2 else t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scanned(docs).collect()}
+    seen = set()
+    for i, text in enumerate(texts):
+        line = " " + "".join(w + " " for w in re.findall(r"[a-z0-9]+", text.lower()))
+        expected = {label for label, p in patterns.items() if p.search(line)}
+        assert {m["label"] for m in rows[i]["matches"]} == expected, text
+        assert rows[i]["score"] == (1.0 if expected else 0.5 if rows[i]["base_labels"] else 0.0)
+        seen |= expected
+    assert len(seen) > 0.85 * len(licenses.TEMPLATES)
+
+
+def test_headers_in_the_wild(spark):
+    texts = {
+        1: "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+        2: "// SPDX-License-Identifier: Apache-2.0",
+        3: "This work is not licensed under the MIT license.",
+        4: "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    }
+    rows = {r["doc_id"]: r for r in licenses.scanned(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: r["labels"] for i, r in rows.items()} == {1: "gpl,gpl-3.0-or-later", 2: "spdx-apache-2.0", 3: "mit", 4: "mpl-2.0"}
+    assert rows[3]["score"] == 0.5
