@@ -57,9 +57,8 @@ def numbered(rows, top):
 
 @pytest.fixture
 def small(monkeypatch):
-    """Several blocks, dense squares and tile sums on a small table."""
+    """Words of one frequency numbered in several cells."""
     monkeypatch.setattr(C, "NUMBERED", 7)
-    monkeypatch.setattr(C, "DENSE_PAIRS", 10)
 
 
 def texts(seed, n):
@@ -74,19 +73,34 @@ def texts(seed, n):
     return out
 
 
-def test_phrases_agree_with_brute_force(spark, small):
+def test_phrases_agree_with_brute_force(spark, small, monkeypatch):
     rows = [(random.Random(i).choice(["en", "de", None, "und"]), t) for i, t in enumerate(texts(5, 400))]
     rows += [(None, None), ("en", ""), ("fr", " , . "), ("en", rows[0][1]), ("en", rows[0][1])]
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
     expected = brute(rows, 6)
     assert len(expected) > 100
     assert found(C.candidates(docs, least=6)) == expected
+    monkeypatch.setattr(C, "SENT_ROWS", 0)
+    monkeypatch.setattr(C, "STRIPS", 3)
     assert found(C.candidates(docs, least=6, busy=3)) == expected
+    monkeypatch.undo()
     best = C.best(C.candidates(docs, least=6), top=5).collect()
     names = ["lang", "rank", *COLUMNS[1:]]
     assert sorted(tuple(r[c] for c in names) for r in best) == sorted(numbered(expected, 5))
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_words_beyond_the_square_agree_with_brute_force(spark, monkeypatch, sent):
+    if not sent:
+        monkeypatch.setattr(C, "SENT_ROWS", 0)
+    rng = random.Random(2)
+    rows = [("en", " ".join(f"w{int(4_000 * rng.random() ** 2)}" for _ in range(40))) for _ in range(250)]
+    docs = spark.createDataFrame(rows + rows, "lang string, text string").repartition(3)
+    expected = brute(rows + rows, 2, 3)
+    assert len({w for r in rows for w in r[1].split()}) > C.HOT
+    assert found(C.candidates(docs, least=2, longest=3, busy=1 << 24 if sent else 500)) == expected
+
+
 def test_blocks_keep_every_word(spark):
     docs = spark.createDataFrame([("en", t) for t in texts(6, 50)], "lang string, text string").coalesce(1)
     one, many = C.blocks(docs), C.blocks(docs, 200)
@@ -100,21 +114,21 @@ def test_tile_sums_and_packing():
     values = rng.integers(-1, 1 << 40, 1_000)
     assert (C.unpack(C.pack(values), 1_000) == values).all()
     x, y = rng.integers(0, 3_000, 400_000), rng.integers(0, 50, 400_000)
-    code, n = C.count_pairs(x, y)
-    plain, m = np.unique(C._code(x, y), return_counts=True)
-    assert (np.sort(code) == plain).all() and n.sum() == m.sum() and len(set((code >> 16)[np.flatnonzero(np.diff(code >> 16))])) <= len(set(code >> 16))
-    dense, listed = C.TileSum(), C.TileSum()
-    parts = [np.unique(rng.integers(0, C.CELLS, 3_000)).astype("<u2") for _ in range(9)]
-    whole = np.zeros(C.CELLS, int)
-    for p in parts:
-        whole[p] += 2
-        dense.add(p.tobytes(), np.full(len(p), 2, "<i8").tobytes())
-    for p in parts[:2]:
-        listed.add(p.tobytes(), np.full(len(p), 3, "<u4").tobytes())
-    at, n = dense.result(4)
-    assert dense.dense is not None and (at == np.flatnonzero(whole >= 4)).all() and (n == whole[at]).all()
-    at, n = listed.result(6)
-    assert listed.dense is None and set(at) == set(parts[0]) & set(parts[1]) and set(n) == {6}
+    (hot, m), (rest, n) = C.count_pairs(x, y)
+    code, k = np.unique(C._code(x, y), return_counts=True)
+    assert (np.sort(np.concatenate((hot, rest))) == code).all() and m.sum() + n.sum() == k.sum()
+    for key, dense in ((5, True), (-3, False)):
+        total = C.TileSum(key)
+        parts = [np.unique(rng.integers(0, C.CELLS, 3_000)) + (key << 16 if dense else 0) for _ in range(9)]
+        whole = dict.fromkeys(np.concatenate(parts).tolist(), 0)
+        for p in parts:
+            for c in p.tolist():
+                whole[c] += 2
+            row = C._tile_rows("x", 1, [(key, p, np.full(len(p), 2))]).to_pylist()[0]
+            total.add(row["n"], row["cells"], row["counts"])
+        at, n = total.result(4)
+        assert (total.dense is not None) == dense
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == {c: v for c, v in whole.items() if v >= 4}
 
 
 def test_products_beyond_64_bits_are_exact(spark):
