@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesift.functions import text as X
-from namesift.operators.sizing import broadcast_if_small, measure
+from namesift.operators.sizing import broadcast_or_merge, measure
 from namesift.session import stage
 
 GRAM_WORDS = 3
@@ -36,6 +36,11 @@ def _word_windows(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(places, lambda i: X.word_run(words, i, n)))
 
 
+def _text_hash(text: str) -> Column:
+    """A 128-bit hash of a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def with_anchor(df: DataFrame, norm: str) -> DataFrame:
     """Add ``_kind`` and ``_gram``: what the text is looked up by; empty texts have none and are left out.
 
@@ -43,12 +48,15 @@ def with_anchor(df: DataFrame, norm: str) -> DataFrame:
     inner words of ``GRAM_CHARS`` or more, and all windows of that many characters. The
     one that fewest different texts of ``df`` share is taken, so a common ending is no
     anchor; among grams shared by at most ``RARE`` texts words come first, as they are
-    cheaper to look up. Grams are counted on different texts and ids are not carried.
+    cheaper to look up. Grams are counted on different texts, which a 128-bit hash stands
+    for beside each gram, and no table of grams is ever broadcast.
 
     ``_gram`` is declared non-null: a null check on it would be pushed below the
     steps that build it and repeat them inside one expression for every window.
     """
     values = df.select(F.col(norm).alias("_norm")).filter("_norm != ''").distinct()
+    # A number of partitions that is asked for is not coalesced at run time: few texts give very many grams.
+    values = values.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_norm")
     words = F.split("_norm", " ")
     inner = X.bind(words, lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
 
@@ -65,7 +73,7 @@ def with_anchor(df: DataFrame, norm: str) -> DataFrame:
     places = F.sequence(F.lit(1), F.length("_norm") - cut + 1)
     by_chars = F.transform(places, lambda i: option(F.concat(F.lit("c"), cut), F.substring(F.col("_norm"), i, cut)))
     options = values.withColumn("_inner", inner).withColumn("o", F.explode(F.array_distinct(F.concat(by_words(F.col("_inner")), by_chars))))
-    options = options.select("_norm", "o.kind", "o.gram")
+    options = options.select(_text_hash("_norm").alias("_text"), "o.kind", "o.gram")
     shared = options.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rank = F.struct(
         F.when(F.col("n") <= RARE, 0).otherwise(F.col("n")).alias("n"),
@@ -74,8 +82,8 @@ def with_anchor(df: DataFrame, norm: str) -> DataFrame:
         "gram",
         "kind",
     )
-    best = options.join(shared, "gram").groupBy("_norm").agg(F.min(rank).alias("_best"))
-    joined = df.join(best, F.col(norm) == F.col("_norm"))
+    best = options.hint("merge").join(shared, "gram").groupBy("_text").agg(F.min(rank).alias("_best"))
+    joined = df.join(best.hint("merge"), _text_hash(norm) == F.col("_text"))
     columns = [F.col("_best.kind").alias("_kind"), F.coalesce("_best.gram", F.lit("")).alias("_gram")]
     return joined.select(*[df[c] for c in df.columns], *columns)
 
@@ -128,34 +136,44 @@ def resolve_text(
     Both directions are searched: entries inside texts, and texts inside entries.
     The second concerns only texts shorter than the longest entry, which is
     measured together with the dictionary's size. Exploded grams carry ids only,
-    and only grams that are anchors become rows if the anchors can be listed. The
+    and only grams that are anchors become rows if the anchors can be listed. Entries
+    of one normalized text are looked up once, under the least of them. The
     normalized dictionary is staged, because it is read several times, and so are
     the candidate pairs, so that the join that brings the texts back is planned
     from their true size.
     """
     t = texts.select(F.col(id_col).alias("id"), X.normalize_label(F.col(text_col)).alias("norm"))
-    d = dictionary.select(
-        F.col(entry_col).alias("entry"), X.normalize_label(F.col(entry_text_col)).alias("entry_norm")
-    ).filter("entry_norm != ''")
-    anchors = stage(with_anchor(d, "entry_norm"), "entries")
-    d = anchors.select("entry", "entry_norm")
+    members = stage(
+        dictionary.select(
+            F.col(entry_col).alias("entry"), X.normalize_label(F.col(entry_text_col)).alias("entry_norm")
+        ).filter("entry_norm != '' and entry is not null"),
+        "members",
+    )
+    values = members.groupBy("entry_norm").agg(F.min("entry").alias("least"))
+    anchors = stage(with_anchor(values, "entry_norm"), "entries")
+    d = anchors.select("least", "entry_norm")
     size = measure(
         anchors, F.col("entry_norm"), kinds=F.collect_set("_kind"), longest=F.max(F.length("entry_norm"))
     )
 
     listed = _listed_anchors(anchors, size)
     inside = with_grams(t, "norm", size["kinds"], listed).select("id", "_gram")
-    inside = inside.join(broadcast_if_small(anchors.select("entry", "_gram"), size), "_gram")
+    inside = inside.join(broadcast_or_merge(anchors.select("least", "_gram"), size), "_gram")
 
     shorter = with_anchor(t.filter(F.length("norm") < (size["longest"] or 0)), "norm").select("id", "_gram")
-    entry_grams = with_grams(d, "entry_norm", ALL_KINDS).select("entry", "_gram")
+    entry_grams = with_grams(d, "entry_norm", ALL_KINDS).select("least", "_gram")
     gram_size = {"rows": len(ALL_KINDS) * size["bytes"], "bytes": 10 * len(ALL_KINDS) * size["bytes"]}
-    around = shorter.join(broadcast_if_small(entry_grams, gram_size), "_gram")
+    around = shorter.join(broadcast_or_merge(entry_grams, gram_size), "_gram")
 
-    pairs = stage(inside.select("id", "entry").unionByName(around.select("id", "entry")).distinct(), "pairs")
-    checked = pairs.join(t, "id").join(broadcast_if_small(d, size), "entry")
+    pairs = stage(inside.select("id", "least").unionByName(around.select("id", "least")).distinct(), "pairs")
+    # The texts come last, so that none is carried through another shuffle.
+    checked = pairs.join(broadcast_or_merge(d, size), "least")
+    n = pairs.count()
+    checked = broadcast_or_merge(checked, {"rows": n, "bytes": n * (size["longest"] or 0)}).join(t, "id")
     kind = X.match_type(F.col("norm"), F.col("entry_norm"))
-    return checked.select("id", "entry", kind.alias("match_type")).filter(F.col("match_type") != "none")
+    checked = checked.select("id", "entry_norm", kind.alias("match_type")).filter(F.col("match_type") != "none")
+    found = checked.join(broadcast_or_merge(members, measure(members, F.col("entry_norm"))), "entry_norm")
+    return found.select("id", "entry", "match_type")
 
 
 def _values(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
@@ -186,11 +204,11 @@ def candidate_pairs(
     columns = [*keys, "left_value", "right_value", "n_left", "n_right"]
 
     left_inside = with_grams(rv, "right_value", l_size["kinds"]).join(
-        broadcast_if_small(l_anchor.drop("_kind"), l_size), on
+        broadcast_or_merge(l_anchor.drop("_kind"), l_size), on
     )
     left_inside = left_inside.filter(F.contains("right_value", "left_value"))
     right_inside = with_grams(lv, "left_value", r_size["kinds"]).join(
-        broadcast_if_small(r_anchor.drop("_kind"), r_size), on
+        broadcast_or_merge(r_anchor.drop("_kind"), r_size), on
     )
     right_inside = right_inside.filter(
         F.contains("left_value", "right_value") & (F.length("right_value") < F.length("left_value"))
