@@ -130,7 +130,7 @@ def _ask(backend: Backend, calls: Calls, prompts: list[str], slots: Slots | None
     return [(None, calls.attempts) for _ in prompts]
 
 
-def _answer_batches(backend: Backend, calls: Calls, parallel: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _answer_batches(backend: Backend, calls: Calls, parallel: int, keep_prompts: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     task = TaskContext.get()
     slots = Slots(calls.cluster_interval, parallel, task.partitionId() if task else 0) if calls.cluster_interval else None
     for rows in batches:
@@ -143,6 +143,7 @@ def _answer_batches(backend: Backend, calls: Calls, parallel: int, batches: Iter
             model=backend.model,
             answer=[answer for answer, _ in answered],
             attempts=[failed + (answer is not None) for answer, failed in answered],
+            prompt=prompts if keep_prompts else None,
         )[["key", "answer", "attempts", "prompt", "backend", "model"]]
 
 
@@ -205,9 +206,7 @@ def infer(
     for i in range(waves):
         # A number of partitions that is asked for is not coalesced at run time.
         part = todo.filter(wave == i).repartition(parallel, "key")
-        fresh = part.mapInPandas(functools.partial(_answer_batches, backend, calls, parallel), CACHE_SCHEMA, profile=profile)
-        if not keep_prompts:
-            fresh = fresh.withColumn("prompt", F.lit(None).cast("string"))
+        fresh = part.mapInPandas(functools.partial(_answer_batches, backend, calls, parallel, keep_prompts), CACHE_SCHEMA, profile=profile)
         store.append(fresh)
 
     kept = _read_cache(df, store, backend)

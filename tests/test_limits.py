@@ -1,5 +1,8 @@
 """What may not grow with the input: broadcasts, batches sent to Python, rows kept per task."""
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from namesift.operators import linking
 
 
@@ -23,4 +26,25 @@ def test_entries_of_one_text_all_match(spark):
     entries = [(7, "The Dark Knight"), (3, "the dark  knight"), (3, "the dark knight"), (3, "knight rise"), (None, "the dark knight")]
     found = linking.resolve_text(texts, spark.createDataFrame(entries, "entry int, entry_text string"))
     got = sorted((r["id"], r["entry"]) for r in found.collect())
-    assert got == [(1, 3), (1, 3), (1, 3), (1, 7), (2, 3), (2, 3), (2, 7)]
+    assert got == [(1, 3), (1, 3), (1, 7), (2, 3), (2, 3), (2, 7)]
+
+
+class Reader:
+    name = "reader"
+    model = "length"
+
+    def answer(self, asked):
+        return [str(len(p)) for p in asked]
+
+
+def test_prompts_reach_python_in_bounded_batches_and_do_not_return(spark):
+    from namesift.operators import inference
+
+    texts = spark.range(4000).repartition(1).select("id", F.repeat(F.lit("x"), 20_000).alias("text"))
+    sizes = texts.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)], "chars": [int(b["text"].str.len().sum())]}) for b in batches), "n long, chars long")
+    most = sizes.agg(F.max("n").alias("n"), F.max("chars").alias("chars"), F.sum("n").alias("all")).first()
+    assert most["n"] <= 1024 and most["chars"] <= 9_000_000 and most["all"] == 4000
+    part = pd.DataFrame({"key": ["k"], "prompt": ["xx"]})
+    for keep, prompt in ((True, "xx"), (False, None)):
+        got = next(inference._answer_batches(Reader(), inference.Calls(), 1, keep, iter([part])))
+        assert got["answer"].tolist() == ["2"] and got["prompt"].tolist() == [prompt]
