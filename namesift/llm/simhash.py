@@ -402,13 +402,32 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     return classes.join(least, "class").select("row", "doc_id", F.col("least.row").alias("keeper"))
 
 
+def duplicate_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that another row stands for, and rows that stay but are written several times; both in column ``row``.
+
+    Links are those of SimHash (fingerprints within two bits, see ``near_components``) and, as short texts
+    change their fingerprint with any edit, the verified pairs of ``near_groups``. A group is whatever links of
+    both kinds connect. Its row with the smallest doc_id stays; null ids count as larger than any id.
+    """
+    keyed = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = near_components(keyed.select(F.col("row").alias("doc_id"), "text"))
+    linked = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    groups = stage(near_groups(docs), "groups")
+    edges = linked.unionByName(groups.where("row <> keeper").select(F.col("row").alias("u"), F.col("keeper").alias("v")))
+    nodes = components(edges)
+    members = stage(keyed.select("row", "doc_id").join(nodes, F.col("row") == F.col("node")).select("row", "doc_id", "component").distinct(), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    least = members.groupBy("component").agg(F.min(order).alias("least"))
+    dropped = stage(members.join(least, "component").where("row <> least.row").select("row"), "dropped")
+    again = groups.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row").join(dropped, "row", "left_anti")
+    return dropped, stage(again, "repeated")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each group the row with the smallest doc_id stays."""
-    groups = stage(near_groups(docs), "groups")
-    kept = without_rows(docs, groups.where("row <> keeper").select("row").distinct())
+    dropped, again = duplicate_groups(docs)
+    kept = without_rows(docs, dropped)
     # A row written several times is its own keeper several times over.
-    again = groups.where("row = keeper").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row")
-    again = stage(again, "repeated")
     if again.isEmpty():
         return kept
     once = packed(kept).join(again, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

@@ -48,3 +48,21 @@ def test_prompts_reach_python_in_bounded_batches_and_do_not_return(spark):
     for keep, prompt in ((True, "xx"), (False, None)):
         got = next(inference._answer_batches(Reader(), inference.Calls(), 1, keep, iter([part])))
         assert got["answer"].tolist() == ["2"] and got["prompt"].tolist() == [prompt]
+
+
+def test_near_dedup_of_the_pipeline_follows_simhash_links(spark):
+    import random
+
+    import corpus_pipeline
+    from namesift.llm import simhash
+
+    rnd = random.Random(1310)
+    words = [f"w{rnd.randrange(60)}" for _ in range(90)]
+    changed = list(words)
+    for i in rnd.sample(range(90), 5):
+        changed[i] = f"v{rnd.randrange(999)}"
+    one, two = " ".join(words), " ".join(changed)
+    assert (simhash.fingerprint(one.encode()) ^ simhash.fingerprint(two.encode())).bit_count() == 2
+    docs = spark.createDataFrame([(4, two), (3, one), (9, "a text of its own, unlike the others")], "doc_id long, text string")
+    assert simhash.near_groups(docs).isEmpty()
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [3, 9]
