@@ -66,3 +66,22 @@ def test_near_dedup_of_the_pipeline_follows_simhash_links(spark):
     docs = spark.createDataFrame([(4, two), (3, one), (9, "a text of its own, unlike the others")], "doc_id long, text string")
     assert simhash.near_groups(docs).isEmpty()
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [3, 9]
+
+
+def test_texts_tagged_side_by_side_give_what_each_gives_alone():
+    import random
+
+    import numpy as np
+    from namesift.operators import tagger
+
+    rnd, rng = random.Random(3), np.random.default_rng(3)
+    model = tagger.Model.empty(["ARTICLE", "LICENSE", "WORD"])
+    model.own[:], model.pairs[:], model.scale = rng.normal(size=model.own.shape), rng.normal(size=model.pairs.shape), 0.5
+    vocabulary = ["Der", "der", "Ünder", "x1", "the", "LICENSE", "is", "ß"]
+    texts = [[rnd.choice(vocabulary) for _ in range(rnd.choice((0, 1, 2, 9, 70)))] for _ in range(90)]
+    alone, together = [model.spans(words) for words in texts], model.spans_of(texts)
+    assert [[s[:3] for s in of] for of in together] == [[s[:3] for s in of] for of in alone]
+    assert all(abs(a[3] - b[3]) < 1e-9 for x, y in zip(alone, together, strict=True) for a, b in zip(x, y, strict=True))
+    for words in filter(None, texts):
+        assert np.array_equal(tagger._scores_of(model.own, [words]), model.scores(tagger.word_features(words)))
+    assert model.spans_of([]) == [] and model.spans_of([[], ["the"]])[0] == []
