@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesift.functions import text as X
-from namesift.session import stage
+from namesift.operators import sizing
+from namesift.session import stage, stage_path
 
 RARE_PAGES = 100_000
 IDF_STEP = 1000
+BUCKET_BYTES = 8 * 1024 * 1024
 
 
 def postings(pages: DataFrame, page_id: str = "page_id", text: Column | None = None) -> DataFrame:
@@ -19,6 +23,21 @@ def postings(pages: DataFrame, page_id: str = "page_id", text: Column | None = N
     return rows.groupBy("page_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def store(pages: DataFrame, page_id: str = "page_id", text: Column | None = None) -> DataFrame:
+    """The postings as a stored table whose pages are dealt by id into buckets of some ``BUCKET_BYTES`` of text.
+
+    A bucket holds its pages whole and is read by one task. So pages are scored where they lie, without moving a score
+    of every page and search, and what a task holds is bounded by its bucket, however many pages there are.
+    """
+    spark = pages.sparkSession
+    size = sizing.measure(pages, F.col("html") if text is None else text)
+    buckets = max(-(-size["bytes"] // BUCKET_BYTES), spark.sparkContext.defaultParallelism)
+    rows = postings(pages.repartition(buckets, page_id), page_id, text)
+    name = f"postings_{uuid.uuid4().hex}"
+    rows.write.format("parquet").option("path", stage_path(spark, "postings")).bucketBy(buckets, "page_id").saveAsTable(name)
+    return spark.table(name)
+
+
 def query_terms(searches: DataFrame, key: str, text: str) -> DataFrame:
     rows = searches.select(F.col(key).alias("search_id"), F.explode(X.tokens(F.col(text))).alias("term"))
     return rows.groupBy("search_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -44,7 +63,8 @@ def retrieve_pages(
     The score adds tf times idf over the shared words, with idf in whole
     thousandths, so it is exact and ties break by page. A word whose idf rounds to
     zero says nothing about a page, and a page that shares only such words is no
-    result. ``index`` should be a stored table, because it is read several times.
+    result. ``index`` should come from ``store``: it is read several times, and other
+    tables are scored with a shuffle of all pages that a search finds.
 
     Words on more than ``rare_pages`` pages are not expanded where they need not be.
     Rare words propose pages first, and the n-th best proposal of a search is its
@@ -60,16 +80,19 @@ def retrieve_pages(
         "search_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "max_tf", (F.col("df") > rare_pages).alias("common")
     )
     terms = stage(terms, "terms")
+    size = sizing.measure(terms, F.col("term"))
 
-    def score(hits: DataFrame) -> DataFrame:
+    def total(hits: DataFrame) -> DataFrame:
         return hits.groupBy("search_id", "page_id").agg(F.sum(F.col("weight") * F.col("tf")).alias("score"))
 
+    def score(wanted: DataFrame) -> DataFrame:
+        return total(index.join(sizing.broadcast_or_merge(wanted, size), "term"))
+
     common = terms.filter("common")
     rare = terms.filter("not common").select("search_id", "term", "weight")
     if common.isEmpty():
-        return _top(score(rare.join(index, "term")), n)
-    proposed = stage(score(rare.join(index, "term")), "proposed")
-    bar = _top(proposed, n).groupBy("search_id").agg(F.min("score").alias("_bar"), F.count(F.lit(1)).alias("_n"))
+        return _top(score(rare), n)
+    bar = _top(score(rare), n).groupBy("search_id").agg(F.min("score").alias("_bar"), F.count(F.lit(1)).alias("_n"))
     bar = bar.filter(F.col("_n") == n).select("search_id", "_bar")
     upto = Window.partitionBy("search_id").orderBy(F.col("weight") * F.col("max_tf"), "term")
     reach = common.withColumn("_reach", F.sum(F.col("weight") * F.col("max_tf")).over(upto))
@@ -77,8 +100,15 @@ def retrieve_pages(
         reach.join(bar, "search_id", "left").select("search_id", "term", "weight", (F.col("_reach") < F.coalesce("_bar", F.lit(0))).alias("aside")),
         "common-terms",
     )
-    needed = score(reach.filter("not aside").drop("aside").join(index, "term"))
-    found = proposed.unionByName(needed).groupBy("search_id", "page_id").agg(F.sum("score").alias("score"))
-    aside = found.select("search_id", "page_id").join(reach.filter("aside").drop("aside"), "search_id")
-    added = score(aside.join(index, ["page_id", "term"]))
-    return _top(found.unionByName(added).groupBy("search_id", "page_id").agg(F.sum("score").alias("score")), n)
+    # Rare words are scored again with the needed ones: that is done inside the buckets, adding up stored proposals is not.
+    needed = rare.unionByName(reach.filter("not aside").drop("aside"))
+    aside = reach.filter("aside").drop("aside")
+    if aside.isEmpty():
+        return _top(score(needed), n)
+    unfinished = aside.select("search_id").distinct()
+    found = stage(score(needed.join(unfinished, "search_id", "left_semi")), "found")
+    lookups = found.select("search_id", "page_id").join(sizing.broadcast_or_merge(aside, size), "search_id")
+    held = index.join(sizing.broadcast_or_merge(aside.select("term").distinct(), size), "term", "left_semi")
+    added = total(lookups.join(held.hint("merge"), ["page_id", "term"]))
+    lifted = found.unionByName(added).groupBy("search_id", "page_id").agg(F.sum("score").alias("score"))
+    return _top(score(needed.join(unfinished, "search_id", "left_anti")).unionByName(lifted), n)

@@ -1,9 +1,16 @@
 """What may not grow with the input: broadcasts, batches sent to Python, rows kept per task."""
 
+import random
+import re
+
 import pandas as pd
+import pytest
+from catalog.queries import QUERIES
+from namesift.operators import linking, retrieval, sizing
+from namesift.session import stage
 from pyspark.sql import functions as F
 
-from namesift.operators import linking
+from tests.test_operators import brute_top
 
 
 def plan_of(df):
@@ -85,3 +92,35 @@ def test_texts_tagged_side_by_side_give_what_each_gives_alone():
     for words in filter(None, texts):
         assert np.array_equal(tagger._scores_of(model.own, [words]), model.scores(tagger.word_features(words)))
     assert model.spans_of([]) == [] and model.spans_of([[], ["the"]])[0] == []
+
+
+# A shuffle of a score for every page and search: its tasks grow with the pages.
+PAGE_SCORES_MOVE = r"hashpartitioning\(search_id#\d+L?, page_id"
+
+
+def test_pages_are_scored_in_the_buckets_of_the_index(spark):
+    found = QUERIES["retrieve_pages"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 0
+    plan = plan_of(found)
+    assert "Bucketed: true" in plan and re.search(r"hashpartitioning\(search_id#", plan)
+    assert not re.search(PAGE_SCORES_MOVE, plan)
+
+
+@pytest.mark.parametrize(("rare_pages", "rows", "looked_up"), [(0, None, False), (3, None, False), (9, None, True), (9, 0, True), (1000, 0, False)])
+def test_a_stored_index_has_bounded_buckets_of_whole_pages(spark, monkeypatch, rare_pages, rows, looked_up):
+    pick = random.Random(4)
+    pages = [(k, " ".join(pick.choices(["the", "of", "in", *(f"w{i}" for i in range(30))], [9, 6, 5, *[1] * 30], k=14))) for k in range(60)]
+    searches = [(k, " ".join(f"w{pick.randrange(30)}" for _ in range(3)) + " the of") for k in range(12)] + [(99, "the of"), (98, "missing")]
+    text = sum(len(t) for _, t in pages)
+    monkeypatch.setattr(retrieval, "BUCKET_BYTES", text // 20)
+    if rows is not None:
+        monkeypatch.setattr(sizing, "BROADCAST_ROWS", rows)
+    staged = []
+    monkeypatch.setattr(retrieval, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    index = retrieval.store(spark.createDataFrame(pages, "page_id int, html string"))
+    files = index.select("page_id", F.input_file_name().alias("file")).distinct().collect()
+    assert len(files) == len(pages) and len({r["file"] for r in files}) > 8
+    got = retrieval.retrieve_pages(index, len(pages), spark.createDataFrame(searches, "sid int, q string"), "sid", "q", 2, rare_pages)
+    expected = brute_top(pages, searches, 2)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    assert ("found" in staged) == looked_up
