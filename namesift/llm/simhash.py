@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesift.llm.common import Powers, components, documents, packed, row_key, shingle_hashes, without_rows, word_hashes
-from namesift.session import stage
+from namesift.llm.common import Powers, components, documents, packed, row_key, shingle_hashes, with_ids, without_rows, word_hashes
+from namesift.operators.sizing import broadcast_if_small, broadcast_or_merge
+from namesift.session import letting_go, stage
 
 BITS = 64
 # Buckets up to this size are compared pair by pair, which is linear in the rows;
@@ -260,7 +261,8 @@ def _common(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     every = max(1, keyed.count() // SAMPLE_ROWS)
     sample = keyed.where(F.pmod("row", F.lit(every)) == 0).select("text").dropDuplicates()
     counts = sample.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    found = counts.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+    with letting_go(keyed.sparkSession):
+        found = counts.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
     gram = found["gram"].to_numpy().view(np.uint64)
     order = np.argsort(gram)
     return gram[order], found["n"].to_numpy()[order]
@@ -287,7 +289,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     Texts meet by their prefix: the shingles of ``shingle`` words that come first in
     one order of all shingles, rare ones before common ones. Two texts that are
     ``similarity`` alike always share one, and at the first they share, enough
-    shingles must follow in both; pairs without that are not proposed. Every
+    shingles must follow in both; pairs without that are not proposed, nor those whose
+    prefixes share too few shingles for what can follow. Every
     proposed pair is verified on its whole sets of shingles, so groups are those of
     all pairs compared, short texts and long ones.
     Exact copies are folded before anything is compared. In a bucket of few texts all
@@ -328,8 +331,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     # Members of a bucket that may be alike if this is the first key they share.
     left_over = f"least({{0}}.size - {{0}}.place, {{1}}.size - {{1}}.place) * {1 + similarity} >= {similarity} * ({{0}}.size + {{1}}.size) - {SLACK}"
     entry = F.struct(F.col("id").alias("id"), "size", "place")
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    held = stage(buckets.join(sizes, "key").select("key", entry.alias("e"), "n"), "buckets")
+    # Most keys are those of one text; they are counted on their own, before what stands beside them moves.
+    sizes = stage(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    n = sizes.count()
+    held = buckets.join(broadcast_or_merge(sizes, {"rows": n, "bytes": 16 * n}), "key")
+    held = stage(held.select("key", entry.alias("e"), "n"), "buckets")
     small = held.where(F.col("n") <= PAIRED // 2).groupBy("key").agg(F.array_sort(F.collect_list("e")).alias("es"))
     pairs = small.select(
         F.explode(
@@ -360,12 +366,26 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
                 keep.append(shared >= similarity * (len(left) + len(right) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    # Keys of a text that others hold too; few, whatever its length.
+    marks = stage(held.groupBy(F.col("e.id").alias("id")).agg(F.first("e.size").alias("size"), F.collect_list("key").alias("keys")), "marks")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs that may be alike by all keys they share, told before any text moves.
+
+        Of the two prefixes one ends first in the order of all shingles. What the texts share up to there is among the keys
+        that both prefixes hold, and beyond there are only the shingles that this text has left.
+        """
+        u, v = [marks.select(F.col("id").alias(x), F.struct("size", "keys").alias(f"of_{x}")) for x in ("u", "v")]
+        rest = f"greatest(0, ceil({similarity} * greatest(of_u.size, of_v.size) - {SLACK}) - 1)"
+        bound = f"(size(array_intersect(of_u.keys, of_v.keys)) + {rest}) * {1 + similarity} >= {similarity} * (of_u.size + of_v.size) - {SLACK}"
+        return pairs.join(u, "u").join(v, "v").where(bound).select("u", "v")
+
     def checked(pairs: DataFrame) -> DataFrame:
         """The proposed pairs that are alike."""
-        proposed = stage(pairs.distinct(), "proposed")
-        ids = proposed.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        proposed = stage(likely(stage(pairs.distinct(), "met")), "proposed")
+        ids = stage(proposed.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
         # Copies of one row share its key, and one of them is enough to compare.
-        needed = stage(keyed.select(F.col("row").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "compared")
+        needed = with_ids(keyed.select(F.col("row").alias("id"), "text"), ids)
         left, right = needed.withColumnsRenamed({"id": "u", "text": "a"}), needed.withColumnsRenamed({"id": "v", "text": "b"})
         return stage(proposed.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "alike")
 
@@ -428,9 +448,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     dropped, again = duplicate_groups(docs)
     kept = without_rows(docs, dropped)
     # A row written several times is its own keeper several times over.
-    if again.isEmpty():
+    n = again.count()
+    if not n:
         return kept
-    once = packed(kept).join(again, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
+    several = broadcast_if_small(again, {"rows": n, "bytes": 8 * n})
+    once = packed(kept).join(several, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
     return without_rows(kept, again).unionByName(once)
 
 
