@@ -22,6 +22,8 @@ GRAM = 20
 # Bytes of text that a task works on at a time, and that it concatenates for one pass.
 BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 16
+# Bytes of text that go to one index, unless one key has more.
+INDEX_BYTES = 1 << 17
 # Low bytes of a key that are not sent. Keys only bring runs together; two that agree in
 # the 40 bits left share a bucket, where their bytes are told apart.
 KEY_SKIPPED = 3
@@ -125,8 +127,8 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     """Suffix array by prefix doubling, and where in it the prefix of ``length`` symbols changes.
 
     The first order comes from as many symbols as fit one word, so texts of few
-    different symbols need fewer rounds. Equal codes get equal ranks, so the sorts need
-    not be stable.
+    different symbols need fewer rounds. Each round sorts only the suffixes that are
+    not told apart yet. Equal codes get equal ranks, so the sorts need not be stable.
     """
     n = len(text)
     kinds = np.flatnonzero(np.bincount(text))
@@ -141,30 +143,46 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     for i in range(depth):
         code = (code << np.uint64(bits)) | padded[i : i + n]
 
-    def ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(code)
-        ordered = code[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
-        return order, rank
-
-    def paired(rank: np.ndarray, step: int) -> np.ndarray:
-        after = np.zeros(n, np.int64)
-        after[: max(n - step, 0)] = rank[step:] + 1
-        return rank * (n + 1) + after
-
-    order, rank = ranked(code)
+    order = np.argsort(code)
+    # A rank is the place in the order where the suffixes with one prefix begin, so those that stand alone are done.
+    rank = np.empty(n, np.int64)
+    first = _heads(code[order])
+    rank[order] = first
+    left = _together(first)
     prefix = None
     while True:
-        if prefix is None and depth * 2 > length:
-            prefix = paired(rank, length - depth)
-        if prefix is not None and int(rank[order[-1]]) == n - 1:
+        if prefix is None and (depth * 2 > length or not len(left)):
+            after = np.zeros(n, np.int64)
+            step = length - depth if len(left) else n
+            after[: max(n - step, 0)] = rank[step:] + 1
+            prefix = rank * (n + 1) + after
+        if not len(left):
             ordered = prefix[order]
             return order, np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        order, rank = ranked(paired(rank, depth))
+        suffix = order[left]
+        ahead = suffix + depth
+        code = rank[suffix] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by_code = np.argsort(code)
+        suffix = suffix[by_code]
+        order[left] = suffix
+        first = _heads(code[by_code])
+        rank[suffix] = left[first]
+        left = left[_together(first)]
         depth *= 2
 
 
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    """For each of some sorted values the place of the first one equal to it."""
+    head = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    return np.maximum.accumulate(np.where(head, np.arange(len(ordered)), 0))
+
+
+def _together(first: np.ndarray) -> np.ndarray:
+    """Places that share their first place with another."""
+    same = first[1:] == first[:-1]
+    return np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of several strings, with samples for its runs.
 
@@ -186,7 +204,7 @@ class RunIndex:
         self.symbol = before[self.start]
         size = np.diff(np.append(self.start, len(text)))
         self.sample = order[np.append(self.start[1:], len(text)) - 1]
-        by_symbol = np.lexsort((self.start, self.symbol))
+        by_symbol = np.argsort(self.symbol.astype(np.int16), kind="stable")
         self.goes = np.empty(len(self.start), np.int64)
         self.goes[by_symbol] = np.concatenate(([0], np.cumsum(size[by_symbol])[:-1]))
         owner = np.repeat(owners, sizes + 1)[order]
@@ -253,8 +271,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
     hashes and once per block of documents however often a passage occurs there. A
     run whose bytes are those of a run in a smaller document is repeated as a
     whole. Where a key has runs of different bytes, such as at the edges of a
-    passage, one text of each goes to the key's bucket, which builds a
-    run-compressed index over them and streams them through it; only windows that match
+    passage, one text of each goes to the key's bucket, which builds
+    run-compressed indexes over the texts of some keys each and streams them through it; only windows that match
     there are marked. Nothing is sampled and no hash match alone decides between different bytes
     of one key but for the 64-bit hash of the run's own bytes.
     """
@@ -327,7 +345,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
 
     def send(docs_: pa.Table, info: pa.Table) -> pa.Table:
         """The text of each context that is called for, from the document that has it first."""
-        schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("text", pa.binary())])
+        schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("key", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("text", pa.binary())])
         if not info.num_rows or not docs_.num_rows:
             return schema.empty_table()
         known, least, called = _gather(info)
@@ -344,6 +362,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
             [
                 pa.array(bucket, pa.int64()),
                 pa.array([docs_["block"][0].as_py()] * len(hit), pa.int64()),
+                pa.array(runs.key[hit].view(np.int64)),
                 pa.array(runs.context[hit].view(np.int64)),
                 pa.array(ids[runs.doc[hit]]),
                 pa.array([texts[d][s : s + w + length - 1] for d, s, w in spans], pa.binary()),
@@ -353,9 +372,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
 
     def index(table: pa.Table) -> pa.Table:
         """Windows of each context that a smaller document has, as bits, gathered by block."""
-        strings, owners = _texts(table["text"]), np.array(table["doc"].to_pylist(), np.int64)
-        block, context = np.array(table["block"].to_pylist(), np.int64), np.array(table["context"].to_pylist(), np.int64)
-        found = RunIndex(strings, owners, length).matches(owners)
+        # Equal windows have one key, so those of different keys need no common index.
+        table = table.sort_by("key")
+        strings, owners = _texts(table["text"]), table["doc"].to_numpy()
+        key, block, context = [table[c].to_numpy() for c in ("key", "block", "context")]
+        head = np.append(_cut(key), len(key))
+        size = np.diff(np.concatenate(([0], np.cumsum([len(s) for s in strings])))[head])
+        part = (np.cumsum(size) - size) // INDEX_BYTES
+        ends = np.append(head[_cut(part)], len(key))
+        found = []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            found += RunIndex(strings[a:b], owners[a:b], length).matches(owners[a:b])
         some = np.array([i for i, f in enumerate(found) if f.any()], np.int64)
         some = some[np.argsort(block[some], kind="stable")]
         cuts = np.append(_cut(block[some]), len(some))
@@ -425,7 +452,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
     blob = "bucket long, block long, keys binary, contexts binary, docs binary, several binary"
     keyed = rows.groupBy("block").applyInArrow(keys, blob)
     met = stage(keyed.groupBy("bucket").applyInArrow(meet, "block long, contexts binary, least binary, called binary"), "runs")
-    sent = rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(send, "bucket long, block long, context long, doc long, text binary")
+    sent = rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(send, "bucket long, block long, key long, context long, doc long, text binary")
     masks = stage(sent.groupBy("bucket").applyInArrow(index, "block long, contexts binary, sizes binary, bits binary"), "masks")
     info = met.select("block", "contexts", "least", "called", F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("bits")).unionByName(
         masks, allowMissingColumns=True
