@@ -14,8 +14,10 @@ Of these the rarest is taken.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ GRAM_WORDS = 3
 GRAM_CHARS = 8
 LISTED_ANCHORS = 10_000
 RARE = 4
+# Bits for each anchor in the table that tells which grams are worth sending, and the most it may have (32 MB).
+ANCHOR_BITS = 32
+MOST_BITS = 28
+PROBES = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 ALL_KINDS = [f"w{k}" for k in range(1, GRAM_WORDS + 1)] + [f"c{q}" for q in range(1, GRAM_CHARS + 1)]
 
 
@@ -123,6 +129,83 @@ def _listed_anchors(anchors: DataFrame, size: dict) -> dict[str, list[str]] | No
     return {kind: sorted(grams) for kind, grams in listed.items()}
 
 
+def _windows(text: bytes, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all grams of a kind in a normalized text; runs of words only if ``GRAM_CHARS`` long, as anchors are.
+
+    The hash is of the first and the last ``GRAM_CHARS`` characters and the length.
+    """
+    data = np.frombuffer(text, np.uint8)
+    eight = np.zeros(len(data), np.uint64)
+    for i in range(min(GRAM_CHARS, len(data))):
+        eight[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(8 * i)
+    n = int(kind[1:])
+    if kind[0] == "c":
+        start = np.arange(max(0, len(data) - n + 1))
+        end = start + n
+        code = eight[start] & np.uint64(2 ** (8 * n) - 1)
+    else:
+        space = np.flatnonzero(data == 0x20)
+        first, last = np.concatenate(([0], space + 1)), np.append(space, len(data))
+        count = max(0, len(first) - n + 1)
+        start, end = first[:count], last[n - 1 :]
+        long = end - start >= GRAM_CHARS
+        start, end = start[long], end[long]
+        code = eight[start] * PROBES[1] ^ eight[end - GRAM_CHARS] * PROBES[2] ^ (end - start).astype(np.uint64)
+    code = (code ^ np.uint64(ALL_KINDS.index(kind) + 1)) * PROBES[0]
+    code = (code ^ (code >> np.uint64(29))) * PROBES[2]
+    return start, end, code ^ (code >> np.uint64(32))
+
+
+def _anchor_bits(anchors: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bit table with the places of the hashes of the ``n`` anchors, and the size of its index in bits."""
+    width = min(MOST_BITS, max(10, (ANCHOR_BITS * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, grams = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            bodies = [(g.split(":", 1)[1].encode(), k) for k, g in zip(kinds, grams, strict=True)]
+            # An anchor is the one window of its kind that begins and ends with it.
+            own = [[h[(s == 0) & (e == len(b))] for s, e, h in [_windows(b, k)]][0] for b, k in bodies]
+            code = np.concatenate([np.zeros(0, np.uint64), *own])
+            place = np.concatenate([(code * p) >> np.uint64(64 - width) for p in PROBES]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place >> 3), pa.array(1 << (place & 7))], ["at", "bit"])
+
+    found = anchors.select("_kind", "_gram").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (width - 3), np.uint8)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
+    return bits, width
+
+
+def with_likely_grams(df: DataFrame, key: str, norm: str, anchors: DataFrame, size: dict) -> DataFrame:
+    """``key, _gram`` for each different gram of the text that may be one of ``anchors``; none that is one is missed.
+
+    The table of bits tells it before a gram becomes a row, so few rows leave a task however large the dictionary is.
+    Normalized texts hold letters, digits and spaces only, a byte each.
+    """
+    kinds = sorted(size["kinds"])
+    bits, width = _anchor_bits(anchors, size["rows"])
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            rows, grams = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = set()
+                for kind in kinds if text else ():
+                    start, end, code = _windows(text.encode(), kind)
+                    for p in PROBES:
+                        place = (code * p) >> np.uint64(64 - width)
+                        hit = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        start, end, code = start[hit], end[hit], code[hit]
+                    found |= {f"{kind}:{text[a:b]}" for a, b in zip(start.tolist(), end.tolist(), strict=True)}
+                rows += [i] * len(found)
+                grams += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(grams, pa.string())], [key, "_gram"])
+
+    return df.select(key, norm).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, _gram string")
+
+
 def resolve_text(
     texts: DataFrame,
     dictionary: DataFrame,
@@ -136,7 +219,8 @@ def resolve_text(
     Both directions are searched: entries inside texts, and texts inside entries.
     The second concerns only texts shorter than the longest entry, which is
     measured together with the dictionary's size. Exploded grams carry ids only,
-    and only grams that are anchors become rows if the anchors can be listed. Entries
+    and only grams that are anchors become rows if the anchors can be listed; else
+    and for the second direction a table of bits leaves next to no others. Entries
     of one normalized text are looked up once, under the least of them. The
     normalized dictionary is staged, because it is read several times, and so are
     the candidate pairs, so that the join that brings the texts back is planned
@@ -157,11 +241,16 @@ def resolve_text(
     )
 
     listed = _listed_anchors(anchors, size)
-    inside = with_grams(t, "norm", size["kinds"], listed).select("id", "_gram")
+    if listed is None:
+        inside = with_likely_grams(t, "id", "norm", anchors, size)
+    else:
+        inside = with_grams(t, "norm", size["kinds"], listed).select("id", "_gram")
     inside = inside.join(broadcast_or_merge(anchors.select("least", "_gram"), size), "_gram")
 
-    shorter = with_anchor(t.filter(F.length("norm") < (size["longest"] or 0)), "norm").select("id", "_gram")
-    entry_grams = with_grams(d, "entry_norm", ALL_KINDS).select("least", "_gram")
+    shorter = stage(with_anchor(t.filter(F.length("norm") < (size["longest"] or 0)), "norm").select("id", "_kind", "_gram"), "shorter")
+    shorter_size = measure(shorter, F.col("_gram"), kinds=F.collect_set("_kind"))
+    entry_grams = with_likely_grams(d, "least", "entry_norm", shorter, shorter_size)
+    shorter = shorter.select("id", "_gram")
     gram_size = {"rows": len(ALL_KINDS) * size["bytes"], "bytes": 10 * len(ALL_KINDS) * size["bytes"]}
     around = shorter.join(broadcast_or_merge(entry_grams, gram_size), "_gram")
 
