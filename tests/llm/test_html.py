@@ -51,3 +51,71 @@ def test_training_parses_few_pages(spark, monkeypatch):
     monkeypatch.setattr(html, "blocks", counted)
     html.train(pages, 5)
     assert 5 <= parsed.value < 400
+
+
+def plain_blocks(page):
+    """Text, elements and share of links of each block, by a slow walk over well-formed markup."""
+    import re
+
+    stack, out, text, linked = [], [], [], 0
+    for tag, piece in re.findall(r"(<[^>]*>)|([^<]+)", page):
+        if piece:
+            text.append(piece)
+            linked += len(piece) * any(t == "a" for t, _ in stack)
+            continue
+        name = re.match(r"</?(\w+)", tag)[1]
+        if name in html.BLOCKS:
+            if "".join(text).strip():
+                whole = " ".join("".join(text).split())
+                out.append((whole, tuple(t for t, _ in stack), frozenset(n for _, ns in stack for n in ns), linked / len(whole)))
+            text, linked = [], 0
+        if tag.startswith("</"):
+            stack.pop()
+        else:
+            stack.append((name, {w for v in re.findall(r'(?:class|id)="([^"]*)"', tag) for w in v.lower().split()}))
+    return out
+
+
+def test_blocks_of_nested_elements_agree_with_a_slow_walk():
+    rng = random.Random(3)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["some text ", "more, of it. ", " ", "x"])
+        name = rng.choice(["div", "section", "article", "nav", "b", "a", "i"])
+        attributes = rng.choice(["", ' class="Main a"', ' id="side" class="b"', ' title="x > y"'.replace(">", "")])
+        return f"<{name}{attributes}>{''.join(some(depth - 1) for _ in range(rng.randrange(4)))}</{name}>"
+
+    for page in (f"<div>{some(7)}</div>" for _ in range(300)):
+        assert [(b.text, b.tags, b.names, b.links) for b in html.blocks(page)] == plain_blocks(page)
+
+
+def test_broken_tags_are_read_as_before():
+    page = "<div a=\"x>y\" b='>'>One</div><ab\"c x=\"foo>two<p class=main id=\"n\">three<p x='open>four</p>five"
+    found = [(b.text, b.tags, sorted(b.names)) for b in html.blocks(page)]
+    assert found == [("One", ("div",), []), ("two", ("ab",), []), ("three", ("ab", "p"), ["main", "n"]), ("four", ("ab", "p"), []), ("five", ("ab",), [])]
+
+
+def test_features_do_not_depend_on_the_order_of_a_set():
+    words = [f"w{i}" for i in range(64)]
+    names = [frozenset(words), frozenset(reversed(words)), frozenset([*words, *map(str, range(999))]) - set(map(str, range(999)))]
+    for n in names:
+        html.around.cache_clear()
+        found = html.features(html.Block("Text, of, it.", ("div", "a"), n, 0.0), 0, 1)
+        assert found == ["bias", "own:a", "words:2", "links:0", "place:0", "in:a", "in:div", *sorted(f"name:{w}" for w in words), "ends", "commas"]
+
+
+def test_decoding_agrees_with_the_likeliest_labels_of_all():
+    from itertools import product
+
+    rng = random.Random(8)
+    names = [f"f{i}" for i in range(12)]
+    page = lambda: [rng.choices(names, k=rng.randrange(0, 5)) for _ in range(6)]
+    field = html.Field()
+    assert field.decode([]) == [] and field.decode([["f1"], []]) == [0, 0]
+    field.train([(page(), rng.choices([0, 1], k=6)) for _ in range(40)], rounds=3)
+    for rows in (page() + [["unseen", "f0", "f0"]] for _ in range(60)):
+        single = field.scores([[field.index[f] for f in r if f in field.index] for r in rows])
+        value = lambda y: sum(s[a] for s, a in zip(single, y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        best = max(product([0, 1], repeat=len(rows)), key=value)
+        assert value(field.decode(rows)) == pytest.approx(value(best))
